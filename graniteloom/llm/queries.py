@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteloom.llm import boilerplate, near_duplicates, terms
+from graniteloom.llm import boilerplate, mixture, near_duplicates, neighbours, pieces, spans, terms, tokens
 from graniteloom.llm.near_duplicates import Similarity
 from graniteloom.runtime import table
 
@@ -60,4 +60,72 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return _terms(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(vec_a, vec_b): either is among the other's 5 nearest."""
+    n = neighbours.nearest(table(spark, d, "embedding_results"), "vec_id", "embedding")
+    return n.select(F.least("id", "neighbour").alias("vec_a"), F.greatest("id", "neighbour").alias("vec_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """(id, neighbour, cosine, rank): the 5 nearest of every usable embedding."""
+    return neighbours.nearest(table(spark, d, "embedding_results"), "vec_id", "embedding")
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parents").withColumn("is_table", F.col("parent_type") == "table")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(parent_id, boundary) of the oversized parents."""
+    return pieces.oversized(_parents(spark, d), "parent_id", "parent_text", "is_table", "updated_at").withColumnRenamed("id", "parent_id")
+
+
+def p6_children(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of the oversized parents."""
+    return pieces.split(_parents(spark, d), "parent_id", "parent_text", "is_table", "updated_at").withColumnsRenamed({"id": "parent_id", "piece": "chunk_index", "piece_text": "child_text"})
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, ids) of every document."""
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, text): the ids decoded again."""
+    return tokens.decode(tokens.encode(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = tokens.count(table(spark, d, "documents"), "doc_id", "text", ("source",))
+    return mixture.copies(sizes, "doc_id", "source", "n_tokens", table(spark, d, "source_weights"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens, copies) of the records in the mixture."""
+    return _mixed(spark, d).where("copies > 0").withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source reached."""
+    return mixture.shares(_mixed(spark, d), table(spark, d, "source_weights"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_a, doc_b): records that share a passage of at least 300 characters."""
+    return spans.shared_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, start, stop): the passages of each record that stand elsewhere too."""
+    return spans.shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, chars, shared_chars, share) of each record."""
+    return spans.shares(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_children, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_spans, p10_shares)
+}
