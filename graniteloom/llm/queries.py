@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteloom.llm import boilerplate, mixture, near_duplicates, neighbours, pieces, spans, terms, tokens
+from graniteloom.llm import boilerplate, mixture, near_duplicates, neighbours, pieces, scans, spans, terms, tokens
 from graniteloom.llm.near_duplicates import Similarity
 from graniteloom.runtime import table
 
@@ -85,6 +85,20 @@ def p6_children(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(_parents(spark, d), "parent_id", "parent_text", "is_table", "updated_at").withColumnsRenamed({"id": "parent_id", "piece": "chunk_index", "piece_text": "child_text"})
 
 
+def _scanned(spark: SparkSession, d: str) -> tuple:
+    return table(spark, d, "parents"), "parent_id", "parent_text", "file_name", "page_number", F.col("file_name").startswith("scan_"), "element_id", "updated_at"
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(parent_id, line_no, kind) of the noise in scanned pages."""
+    return scans.findings(*_scanned(spark, d)).withColumnRenamed("id", "parent_id")
+
+
+def p7_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(parent_id, file_name, page_number, text): the scanned pages as continuous paragraphs."""
+    return scans.repair(*_scanned(spark, d)).withColumnsRenamed({"id": "parent_id", "file": "file_name", "page": "page_number"})
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -127,5 +141,5 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_children, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_spans, p10_shares)
+    for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_children, p7_found, p7_pages, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_spans, p10_shares)
 }
