@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from graniteloom.runtime import written
+
 _LETTERS, _DIGITS = string.ascii_letters, string.digits
 
 
@@ -190,6 +192,8 @@ def departures(df: DataFrame, accepted: DataFrame, load: str, limits: Thresholds
     gone = missing(F.col("v"))
     g = u.groupBy("load", "column_name", F.when(~gone, mask(F.col("v"))).alias("mask"), F.when(~gone, F.col("kept")).alias("kept"), F.when(~gone, F.col("digit")).otherwise(F.lit(0)).alias("digit")).agg(F.count("*").alias("n"))
 
+    # a few thousand rows for a load; read by both branches below, so the table itself is scanned once
+    g = written(g, "cells")
     by_col = F.create_map(*[x for r in want for x in (F.lit(r["column_name"]), F.lit(r["common_pattern"]))])
     pattern = F.element_at(by_col, F.col("column_name"))
     shares = {(r["column_name"], t["value"]): t["cnt"] / r["non_null_count"] for r in want if (r["distinct_count"] or 0) <= limits.distribution_upto and r["non_null_count"] for t in (r["top_k_values"] or [])}
