@@ -43,7 +43,7 @@ CONFUSIONS = (
     ("ä", "a¨"), ("ö", "o¨"), ("ü", "u¨"), ("ä", "a"), ("ö", "o"), ("ü", "u"), ("ü", "ii"), ("ß", "b"), ("ß", "fs"),
 )
 # Marks of a divided word at a line end.
-MARKS = "-¬­‐‑"
+MARKS = "-\u00ac\u00ad\u2010\u2011"
 # The words around a page number.
 BEFORE_NUMBER, AFTER_NUMBER = ("page", "p.", "blatt", "seite", "s."), ("쪽", "페이지")
 
@@ -53,7 +53,7 @@ _DIGITS = str.maketrans("OoIl|SsBZ", "001115582")
 _NUM = r"[0-9OoIl|SsBZ]{1,5}"
 _NUMBER = re.compile(rf"(?:(?P<dash>[-–—])\s*(?P<a>{_NUM})\s*[-–—]|\[\s*(?P<b>{_NUM})\s*\]|(?:{'|'.join(map(re.escape, BEFORE_NUMBER))})\s*(?P<c>{_NUM})(?:\s*(?:/|of|von)\s*{_NUM})?|(?P<d>{_NUM})\s*/\s*{_NUM}|(?P<e>{_NUM})\s*(?:{'|'.join(AFTER_NUMBER)})|(?P<f>{_NUM}))", re.I)
 _TRAIL = re.compile(rf"^(?:{_NUM}\s{{2,}})?(.*?)(?:\s{{2,}}{_NUM})?$", re.S)
-_TOKEN = re.compile(r"(?:[^\W_]|[|@῭-ͯ])+")
+_TOKEN = re.compile(r"(?:[^\W_]|[|@\u00a8\u0300-\u036f])+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _DIVIDED = re.compile(rf"(?<=[^\W\d_])[{MARKS}][^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
