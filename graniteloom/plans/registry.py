@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graniteloom.plans import quality
+from graniteloom.plans import quality, search
 
-MODULES = (quality,)
+MODULES = (quality, search)
 
 
 def queries() -> dict:
