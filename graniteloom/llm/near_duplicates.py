@@ -36,6 +36,11 @@ class Similarity:
     rows: int = 4
 
 
+SKETCH = 3  # 64-bit words of each of two bit planes
+#: Candidates of up to this many (counted) edges are sent to all executors to pick their sets: at most some 16 MB.
+BROADCAST_EDGES = 100_000
+
+
 def _densified(doc: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
     top = np.iinfo(np.uint64).max
     g = mix(h ^ U(0x5BD1E9955BD1E995))
@@ -57,6 +62,15 @@ def _densified(doc: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
     return sig
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """[n, 2, SKETCH]: two bits of each of the first 64 * SKETCH bins, as words of one bit plane each."""
+    few = sig[:, : 64 * SKETCH]
+    if few.shape[1] < 64 * SKETCH:
+        few = np.tile(few, (1, -(-64 * SKETCH // few.shape[1])))[:, : 64 * SKETCH]
+    planes = [np.packbits(((few >> U(p)) & U(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64) for p in (7, 13)]
+    return np.stack(planes, axis=1)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
     for batch in batches:
@@ -85,6 +99,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
             isnew[new] = True
             shingles = pa.array([s.view(np.int64) if f else None for s, f in zip(sets, isnew)], pa.list_(pa.int64()))
             keys = np.zeros((0, how.bands), np.int64)
+            bits = np.zeros((n, 2, SKETCH), np.int64)
             if new:
                 sig = _densified(np.repeat(np.arange(len(new)), sizes[new]), np.concatenate([sets[j] for j in new]), len(new), how.bands * how.rows).reshape(len(new), how.bands, how.rows)
                 k = np.broadcast_to(np.arange(how.bands, dtype=np.uint64), (len(new), how.bands)).copy()
@@ -92,25 +107,31 @@ def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
                     for r in range(how.rows):
                         k = mix(k * U(0x9E3779B97F4A7C15) + sig[:, :, r])
                 keys = k.view(np.int64)
+                bits[new] = sketch(sig.reshape(len(new), -1))
             full = np.zeros(n + 1, np.int32)
             full[1:] = np.cumsum(np.where(isnew, how.bands, 0))
             bands = pa.ListArray.from_arrays(pa.array(full), pa.array(keys.ravel()))
             row = part.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([row.column(0), pa.array(c1), pa.array(c2), shingles, bands], ["id", "c1", "c2", "shingles", "bands"])
+            cols = {"id": row.column(0), "c1": pa.array(c1), "c2": pa.array(c2), "shingles": shingles, "bands": bands}
+            cols |= {f"s{i}{j}": pa.array(np.ascontiguousarray(bits[:, i, j])) for i in range(2) for j in range(SKETCH)}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+
+_PLANES = [f"s{i}{j}" for i in range(2) for j in range(SKETCH)]
 
 
 def signatures(docs: DataFrame, key: str, text: str, how: Similarity) -> DataFrame:
     """(id, c1, c2, shingles, bands) of the texts long enough; c1, c2 name the class of texts with equal run sets."""
     kind = docs.schema[key].dataType.simpleString()
     use = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
-    return use.mapInArrow(partial(_signatures, how=how), f"id {kind}, c1 long, c2 long, shingles array<long>, bands array<long>")
+    return use.mapInArrow(partial(_signatures, how=how), f"id {kind}, c1 long, c2 long, shingles array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in _PLANES))
 
 
 def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the class edges (a, b) those with a Jaccard similarity of at least ``threshold``."""
+    """Of the written class edges (a, b) those with a Jaccard similarity of at least ``threshold``."""
     # only sets that stand in an edge are moved
     ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = sets.join(ends, "c", "left_semi")
+    sets = sets.join(F.broadcast(ends) if edges.count() <= BROADCAST_EDGES else ends, "c", "left_semi")
     j = edges.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     j = j.where(small >= threshold * large)
@@ -130,18 +151,28 @@ def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Simi
     name = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))
     members = sig.select("id", name.alias("c")).distinct()
     sets = sig.where(F.col("shingles").isNotNull()).select(name.alias("c"), "shingles")
-    b = sig.where(F.size("bands") > 0).select("c1", "c2", F.explode("bands").alias("k"))
-    order = F.struct(F.xxhash64("k", "c1", "c2").alias("o"), "c1", "c2")
-    centre = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    centre = centre.where("lo.c1 != hi.c1 or lo.c2 != hi.c2").select("k", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in ("lo", "hi") for c in ("c1", "c2")])
-    star = b.join(centre, "k").select(F.explode(F.array(*[F.struct(F.col("c1").alias("x1"), F.col("c2").alias("x2"), F.col(f"{e}c1").alias("y1"), F.col(f"{e}c2").alias("y2")) for e in ("lo", "hi")])).alias("e")).select("e.*")
-    star = star.where("x1 != y1 or x2 != y2")
-    hexed = lambda p, q: F.concat(F.lpad(F.hex(p), 16, "0"), F.lpad(F.hex(q), 16, "0"))
-    star = star.distinct().select(hexed("x1", "x2").alias("x"), hexed("y1", "y2").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # one exchange serves both the choice of centres and the join with them; a bucket has one row for each text and task.
+    # c1 stands for the class here: should two classes share it, both become candidates and are verified
+    b = sig.where(F.size("bands") > 0).select("c1", F.explode("bands").alias("k")).repartition("k")
+    order = F.struct(F.xxhash64("k", "c1").alias("o"), "c1")
+    centre = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo.c1 != hi.c1").select("k", F.col("lo.c1").alias("lo"), F.col("hi.c1").alias("hi"))
+    star = b.join(centre, "k").select("c1", F.explode(F.array("lo", "hi")).alias("y")).where("c1 != y")
+    star = star.select(F.least("c1", "y").alias("x"), F.greatest("c1", "y").alias("y")).distinct()
+    # two bits of each bin tell most chance meetings apart before whole sets are moved: a pair at the threshold agrees in (1 + 3 t) / 4
+    # of the bins, and passes unless it falls 5 standard deviations (of as many draws as the smaller set has runs) below
+    sk = sig.where(F.size("bands") > 0).select("c1", name.alias("c"), F.size("shingles").alias("n"), *_PLANES)
+    pre = lambda p: sk.select(*[F.col(c).alias(p + c) for c in sk.columns])
+    star = star.join(pre("x_"), star["x"] == F.col("x_c1")).join(pre("y_"), star["y"] == F.col("y_c1"))
+    agree = sum((F.bit_count(F.bitwise_not(F.col(f"x_s0{j}").bitwiseXOR(F.col(f"y_s0{j}")).bitwiseOR(F.col(f"x_s1{j}").bitwiseXOR(F.col(f"y_s1{j}"))))) for j in range(1, SKETCH)), F.bit_count(F.bitwise_not(F.col("x_s00").bitwiseXOR(F.col("y_s00")).bitwiseOR(F.col("x_s10").bitwiseXOR(F.col("y_s10"))))))
+    mean = (1 + 3 * how.threshold) / 4
+    draws = F.least("x_n", "y_n", F.lit(64 * SKETCH)).cast("double")
+    star = star.where(agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
+    star = written(star.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).where("a != b").distinct(), "candidates")
     one = written(_verified(star, sets, how.threshold), "edges")
     # texts with a common verified neighbour: what the stars leave out of a bucket
     nb = one.select(F.col("a").alias("m"), F.col("b").alias("x")).union(one.select(F.col("b").alias("m"), F.col("a").alias("x")))
     two = nb.join(nb.select("m", F.col("x").alias("y")), "m").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
+    two = written(two, "candidates")
     pairs = one.unionByName(_verified(two, sets, how.threshold))
     return members, written(pairs, "pairs")
 

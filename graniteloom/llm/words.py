@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 
 U = np.uint64
 
 
-@lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """Maximal runs of Unicode letters (L*) and decimal digits (Nd)."""
-    other = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
-    return re.compile(rf"[^\W_{re.escape(other)}]+")
+_WORD = re.compile(r"[^\W_]+")
+_no_digit: dict[int, str] = {}
 
 
 def words(text: str) -> list[str]:
-    """The lower-case words of a text; a word stays one word when lower case changes its length."""
-    found = word_pattern().findall(text)
+    """The lower-case words of a text: maximal runs of Unicode letters (L*) and decimal digits (Nd).
+
+    A word stays one word when lower case changes its length.
+    """
+    if not _no_digit:
+        # numbers that are no decimal digits, such as fractions
+        _no_digit.update((c, " ") for c in range(0x80, 0x20000) if chr(c).isnumeric() and unicodedata.category(chr(c)) in ("No", "Nl"))
+        _no_digit_chars.update(map(chr, _no_digit))
+    if not _no_digit_chars.isdisjoint(text):
+        text = text.translate(_no_digit)
+    found = _WORD.findall(text)
     return " ".join(found).lower().split(" ") if found else []
 
 
+_no_digit_chars: set[str] = set()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     with np.errstate(over="ignore"):
