@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graniteloom.plans import quality, search
+from graniteloom.plans import profiles, quality, search
 
-MODULES = (quality, search)
+MODULES = (quality, search, profiles)
 
 
 def queries() -> dict:

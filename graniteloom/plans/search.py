@@ -57,7 +57,7 @@ def k1_bm25_search(spark, d):
     return bm25.search(_tf(spark, d), _terms(spark), 10)
 
 
-def p6_any_term(spark, d):
+def pred6_any_term(spark, d):
     """How many documents have any term of each question."""
     hit = _tf(spark, d).join(_terms(spark), "term").select("query", "doc").distinct()
     return hit.groupBy("query").agg(F.count("*").alias("docs"))
@@ -142,7 +142,7 @@ def j3_document_overview(spark, d):
     return retrieval.document_overview(table(spark, d, "parents"), table(spark, d, "children"))
 
 
-def p11_visible(spark, d):
+def pred11_visible(spark, d):
     p = table(spark, d, "parents")
     return retrieval.visible_to(p, "kim", ("quality",)).groupBy("parent_type").agg(F.countDistinct("parent_id").alias("parents"))
 
@@ -172,7 +172,7 @@ ORACLES = {
     "a18_idf": f"""WITH {TF_SQL}, n AS (SELECT count(DISTINCT doc) AS n FROM tf)
         SELECT term, count(*) AS df, round(greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 0), 6) AS idf FROM tf, n GROUP BY term""",
     "k1_bm25_search": _BM25_SQL + " SELECT query, doc, score, rank FROM r WHERE rank <= 10",
-    "p6_any_term": f"""WITH {TF_SQL}, q AS (SELECT query, unnest({tokens_sql("question")}) AS term FROM {QUESTIONS_SQL})
+    "pred6_any_term": f"""WITH {TF_SQL}, q AS (SELECT query, unnest({tokens_sql("question")}) AS term FROM {QUESTIONS_SQL})
         SELECT query, count(DISTINCT doc) AS docs FROM tf JOIN q USING (term) GROUP BY query""",
     "s24_delete": f"WITH {TF_SQL} SELECT term, count(*) AS df FROM tf WHERE NOT contains(doc, '_heading') GROUP BY term",
     "s23_batch_status": f"""WITH s AS (SELECT doc_id, coalesce(len({tokens_sql("text")}), 0) > 0 AS ok FROM documents)
@@ -224,12 +224,12 @@ ORACLES = {
         WITH c AS (SELECT parent_id, count(DISTINCT child_id) AS n FROM children GROUP BY parent_id),
         p AS (SELECT parent_id, any_value(source_file) AS source_file, any_value(file_name) AS file_name, any_value(created_at) AS created_at FROM parents GROUP BY parent_id)
         SELECT source_file, file_name, count(*) AS parents, CAST(coalesce(sum(n), 0) AS BIGINT) AS children, min(created_at) AS first_created FROM p LEFT JOIN c USING (parent_id) GROUP BY ALL""",
-    "p11_visible": """
+    "pred11_visible": """
         SELECT parent_type, count(DISTINCT parent_id) AS parents FROM parents
         WHERE list_contains(coalesce(acl_users, []), 'kim') OR list_contains(coalesce(acl_groups, []), 'quality') OR (len(coalesce(acl_users, [])) = 0 AND len(coalesce(acl_groups, [])) = 0) GROUP BY parent_type""",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (f1_tokens, a14_term_frequencies, a15_doc_lengths, a16_document_frequencies, a16_stored_frequencies, a17_statistics, a18_idf, k1_bm25_search, p6_any_term, s24_delete, s23_batch_status, s23_atomic_status, a27_health, k2_dense_search, o14_hybrid, f30_multi_query, j1_with_parents, j3_document_overview, p11_visible)
+    for f in (f1_tokens, a14_term_frequencies, a15_doc_lengths, a16_document_frequencies, a16_stored_frequencies, a17_statistics, a18_idf, k1_bm25_search, pred6_any_term, s24_delete, s23_batch_status, s23_atomic_status, a27_health, k2_dense_search, o14_hybrid, f30_multi_query, j1_with_parents, j3_document_overview, pred11_visible)
 }
