@@ -73,16 +73,16 @@ def sentences(text: Column) -> Column:
 
 
 def claim_sentences(text: Column, shortest: int = 11) -> Column:
-    """Sentences as a fact check takes them: titles keep their full stop, terminators go, fragments of 10 characters or fewer go too."""
-    safe = F.regexp_replace(text, r"\b(Mr|Mrs|Ms|Dr|Prof|Sr|Jr)\.", "$1\u0001")
-    parts = F.transform(F.split(safe, r"[.!?]+\s+|[.!?]+$"), lambda s: F.trim(F.translate(s, "\u0001", ".")))
+    """Sentences as a fact check takes them: titles keep their full stop, terminators go, and so do fragments of 10 characters or fewer."""
+    safe = F.regexp_replace(text, r"\b(Dr|Mr|Mrs|Ms|Prof)\.", "$1\u0001")
+    parts = F.transform(F.split(safe, r"[.!?](?:\s+(?=[A-Z가-힣])|$)", -1), lambda s: F.regexp_replace(F.translate(s, "\u0001", "."), r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: F.length(s) >= shortest)
 
 
 def mask_values(question: Column) -> Column:
     """Numbers, then ISO dates, then quoted strings become [VALUE]; a date's numbers are masked first, so it becomes three."""
-    c = F.regexp_replace(question, r"\b\d+(\.\d+)?\b", "[VALUE]")
-    c = F.regexp_replace(c, r"\b\d{4}-\d{2}-\d{2}\b", "[VALUE]")
+    c = F.regexp_replace(question, r"(?U)\b\d+(\.\d+)?\b", "[VALUE]")
+    c = F.regexp_replace(c, r"(?U)\b\d{4}-\d{2}-\d{2}\b", "[VALUE]")
     return F.regexp_replace(F.regexp_replace(c, "'[^']*'", "[VALUE]"), '"[^"]*"', "[VALUE]")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graniteloom.plans import profiles, quality, search
+from graniteloom.plans import documents, profiles, quality, search
 
-MODULES = (quality, search, profiles)
+MODULES = (quality, search, profiles, documents)
 
 
 def queries() -> dict:
