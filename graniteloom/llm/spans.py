@@ -2,7 +2,7 @@
 
 A token is a character. Windows of ``length`` characters that stand in two records are what is sought, and every such window holds,
 among its inner windows of half that length, the one whose hash is least: an anchor that both records choose alike (Schleimer et al., 2003). So a first pass hashes every
-half window and counts anchors only; a second hashes every full window that holds a repeated anchor, and Spark counts these. Nothing
+half window and counts anchors only; a second hashes every full window whose anchor repeats, and Spark counts these. Nothing
 that is shared can be missed. Repeated windows merge into maximal intervals.
 """
 
@@ -21,6 +21,7 @@ from graniteloom.llm.words import U, mix
 from graniteloom.runtime import written
 
 CHUNK = 1 << 22  # characters hashed at a time; below 2 ** 24, as positions share a word with hash bits
+BROADCAST_ROWS = 200_000  # (counted) rows of two hashes sent to all executors: at most some 10 MB
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so invertible modulo 2 ** 64
 
 
@@ -51,18 +52,28 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
+_LOW = U((1 << 24) - 1)
+
+
+def _least(h: np.ndarray, length: int) -> np.ndarray:
+    """Of each full window the least half-window hash (its upper bits) with its position in the lower bits."""
+    return sliding_min((h & ~_LOW) | np.arange(len(h), dtype=np.uint64), length - length // 2 + 1)
+
+
+def _own_anchor(codes: np.ndarray, length: int) -> np.ndarray:
+    return (_least(window_hashes(codes, length // 2, _B1), length) & _LOW).astype(np.int64)
+
+
 def anchors(codes: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of texts that lie end to end, text i beginning at ``starts[i]``."""
-    k = length // 2
-    h = window_hashes(codes, k, _B1)
-    low = U((1 << 24) - 1)
-    least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - k + 1)
+    h = window_hashes(codes, length // 2, _B1)
+    least = _least(h, length)
     # full windows that begin within ``length`` of their text's end reach into the next one
     ends = np.append(starts[1:], len(codes))
     ok = np.ones(len(least), bool)
     for e in ends:
         ok[max(0, e - length + 1) : e] = False
-    pos = np.unique(least[ok] & low).astype(np.int64)
+    pos = np.unique(least[ok] & _LOW).astype(np.int64)
     return pos, h[pos]
 
 
@@ -100,24 +111,25 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, anchor positions) to (doc, pos, h1, h2, first): the full windows that hold an anchor."""
-    k = length // 2
+    """(doc, text, repeated anchors) to (doc, pos, h1, h2, first): the full windows whose anchor repeats."""
     for batch in batches:
         for i, t, near in zip(*(c.to_pylist() for c in batch.columns)):
+            had = np.empty(0, np.uint64)  # windows in earlier parts of this text
             for a in range(0, max(1, len(t) - length + 1), CHUNK - length + 1):
                 codes, _ = _codes([t[a : a + CHUNK]])
-                n = len(codes) - length + 1
                 at = np.asarray(near, np.int64) - a
-                at = at[(at >= 0) & (at + k <= len(codes))]
-                mark = np.zeros(n + 1, np.int32)
-                np.add.at(mark, np.maximum(at + k - length, 0).clip(max=n), 1)
-                np.add.at(mark, np.minimum(at + 1, n), -1)
-                pos = np.nonzero(np.cumsum(mark[:-1]) > 0)[0]
+                shared = np.zeros(len(codes), bool)
+                shared[at[(at >= 0) & (at < len(codes))]] = True
+                # a window can only repeat if its own least half window does
+                pos = np.nonzero(shared[_own_anchor(codes, length)])[0]
                 if not len(pos):
                     continue
                 h1, h2 = window_hashes(codes, length, _B1)[pos], window_hashes(codes, length, _B2)[pos]
                 first = np.zeros(len(pos), bool)
                 first[np.unique(h1, return_index=True)[1]] = True
+                if len(t) > CHUNK:
+                    first &= ~np.isin(h1, had)
+                    had = np.union1d(had, h1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i)), pa.array(pos + a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(first)], ["doc", "pos", "h1", "h2", "first"])
 
 
@@ -133,8 +145,9 @@ def windows(docs: DataFrame, key: str, text: str, length: int = 300) -> tuple[Da
     near = a.join(twice, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("near"))
     sus = use.join(near, "doc").groupBy("doc").agg(F.max("t").alias("t"), F.first("near").alias("near"))
     rows = written(sus.mapInArrow(partial(_window_rows, length=length), "doc long, pos long, h1 long, h2 long, first boolean"), "windows")
-    g = rows.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("x2"), F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    return rows, written(g.where("lo < hi").drop("lo", "hi"), "groups")
+    # a record has one first row for each window: counting rows counts records
+    g = rows.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("x2"))
+    return rows, written(g.where("docs > 1"), "groups")
 
 
 def shared_pairs(docs: DataFrame, key: str, text: str, length: int = 300) -> DataFrame:
@@ -142,6 +155,9 @@ def shared_pairs(docs: DataFrame, key: str, text: str, length: int = 300) -> Dat
     rows, groups = windows(docs, key, text, length)
     # windows that stand in the same records give the same pairs: one of them speaks for all
     speak = groups.groupBy("docs", "x1", "x2").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2")
+    speak = written(speak, "speakers")
+    if speak.count() <= BROADCAST_ROWS:
+        speak = F.broadcast(speak)
     w = rows.where("first").join(speak, ["h1", "h2"], "left_semi").select("h1", "h2", "doc")
     p = w.withColumnRenamed("doc", "doc_a").join(w.withColumnRenamed("doc", "doc_b"), ["h1", "h2"]).where("doc_a < doc_b")
     return p.select("doc_a", "doc_b").distinct()
