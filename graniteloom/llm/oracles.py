@@ -9,4 +9,30 @@ ORACLES = {
         k AS (SELECT parent_id, file_name, line_no, lower(regexp_replace(line, '[^\pL]+', '', 'g')) AS key FROM l),
         s AS (SELECT file_name, key FROM k WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT parent_id) >= 8)
         SELECT parent_id, CAST(line_no AS BIGINT) AS line_no FROM k JOIN s USING (file_name, key)""",
+    "p3_found": r"""
+        WITH c AS (SELECT child_id, any_value(child_text) AS t, any_value(parent_id) AS parent_id FROM children WHERE child_id IS NOT NULL AND child_text IS NOT NULL GROUP BY child_id),
+        w AS (SELECT child_id, source_file, list_transform(regexp_extract_all(t, '[\pL\p{Nd}]+'), lambda x: lower(x)) AS w FROM c JOIN (SELECT DISTINCT parent_id, source_file FROM parents) USING (parent_id)),
+        s AS (SELECT child_id, source_file, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+        u AS (SELECT child_id, source_file, len(s) AS n, unnest(s) AS g FROM s),
+        p AS (SELECT a.child_id AS child_a, b.child_id AS child_b, count(*) AS i, any_value(a.n) + any_value(b.n) AS n FROM u a JOIN u b USING (g) WHERE a.child_id < b.child_id AND a.source_file <> b.source_file GROUP BY ALL)
+        SELECT child_a, child_b FROM p WHERE i >= 0.6 * (n - i) - 1e-9""",
+    "p5_found": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedding_results
+                   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.e, b.e), 6) DESC, b.vec_id) AS r FROM v a, v b WHERE a.vec_id <> b.vec_id)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM s WHERE r <= 5""",
+    "p6_found": r"""
+        WITH t AS (SELECT DISTINCT parent_id, parent_text AS t, parent_type = 'table' AS tab FROM parents WHERE parent_id IS NOT NULL AND parent_text IS NOT NULL),
+        o AS (SELECT * FROM t WHERE len(regexp_extract_all(t, '\S+')) > 400),
+        l AS (SELECT parent_id, tab, generate_subscripts(string_split(t, chr(10)), 1) AS i, unnest(string_split(t, chr(10))) AS line FROM o),
+        n AS (SELECT *, len(regexp_extract_all(line, '\S+')) AS n, count(*) FILTER (trim(line, ' ' || chr(9) || chr(13)) = '') OVER (PARTITION BY parent_id ORDER BY i) AS para FROM l),
+        q AS (SELECT parent_id, tab, para, sum(n) AS words, max(n) AS line_words, string_agg(line, chr(10) ORDER BY i) AS body FROM n GROUP BY ALL),
+        s AS (SELECT *, list_max(list_transform(string_split(regexp_replace(body, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: len(regexp_extract_all(x, '\S+')))) AS sentence FROM q)
+        SELECT parent_id, CASE WHEN any_value(tab) THEN CASE WHEN max(line_words) <= 400 THEN 'row' ELSE 'word' END WHEN max(words) <= 400 THEN 'paragraph' WHEN max(sentence) <= 400 THEN 'sentence' ELSE 'word' END AS boundary FROM s GROUP BY parent_id""",
+    "p10_found": """
+        WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+        w AS (SELECT DISTINCT doc_id, md5_number(substr(text, i, 300)) AS h FROM d),
+        m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+        SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM w a JOIN w b USING (h) WHERE a.doc_id < b.doc_id AND h IN (SELECT h FROM m)""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
