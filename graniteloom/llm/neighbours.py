@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from graniteloom.llm.words import mix
 from graniteloom.runtime import written
 
 
@@ -27,7 +28,7 @@ class Forest:
 
     trees: int = 4
     leaf: int = 192
-    probes: int = 12
+    probes: int = 16
     sample: int = 16_384
     least: int = 8
     seed: int = 7
@@ -79,7 +80,6 @@ class _Trees:
         self.ways = rng.standard_normal((dim, self.trees * max(1, self.depth)))
         p = sample @ self.ways
         self.splits: list[list[np.ndarray]] = []
-        self.known: list[int] = []
         for t in range(self.trees):
             levels, node = [], np.zeros(len(p), np.int64)
             for d in range(self.depth):
@@ -97,6 +97,20 @@ class _Trees:
                     levels.append(s)
                 node = node * 2 + (x >= levels[-1][node if len(levels[-1]) > 1 else np.zeros_like(node)])
             self.splits.append(levels)
+        # leaves that the sample says to be overfull are worked on in blocks: at most as many as the sample has vectors
+        found, n = np.unique(self.leaves(sample), return_counts=True) if len(sample) else (np.empty(0, np.int64), np.empty(0))
+        size = n * (count / max(1, len(sample)))
+        over = size > 4 * how.leaf
+        self.full, self.blocks = found[over], np.ceil(size[over] / (4 * how.leaf)).astype(np.int64)
+
+    def blocks_of(self, leaf: np.ndarray) -> np.ndarray:
+        """In how many blocks the vectors of each leaf are worked on."""
+        out = np.ones(len(leaf), np.int64)
+        if len(self.full):
+            at = np.minimum(np.searchsorted(self.full, leaf), len(self.full) - 1)
+            hit = self.full[at] == leaf
+            out[hit] = self.blocks[at[hit]]
+        return out
 
     def margin(self, p: np.ndarray, t: np.ndarray, d: np.ndarray, node: np.ndarray, row: np.ndarray) -> np.ndarray:
         out = np.empty(len(t))
@@ -170,9 +184,18 @@ def _file(batches: Iterator[pa.RecordBatch], dim: int, trees: _Trees, probes: in
             asks = part.column(1).to_numpy(zero_copy_only=False)
             found = trees.search(u[asks], probes)
             q = np.nonzero(asks)[0]
-            rows = np.concatenate([np.repeat(np.arange(n), leaf.shape[1]), np.repeat(q, found.shape[1])])
-            leaves = np.concatenate([leaf.ravel(), found.ravel()])
-            kind = np.concatenate([np.zeros(leaf.size, np.int32), np.ones(found.size, np.int32)])
+            # a vector goes to one block of its leaf, a question to all of them
+            rows, leaves = np.repeat(np.arange(n), leaf.shape[1]), leaf.ravel()
+            ids = part.column(0).to_numpy(zero_copy_only=False)[rows]
+            block = (mix(ids.astype(np.uint64)) % trees.blocks_of(leaves).astype(np.uint64)).astype(np.int64)
+            ask_rows, ask = np.repeat(q, found.shape[1]), found.ravel()
+            each = trees.blocks_of(ask)
+            first = np.cumsum(each) - each
+            ask_block = np.arange(each.sum()) - np.repeat(first, each)
+            ask_rows, ask = np.repeat(ask_rows, each), np.repeat(ask, each)
+            kind = np.concatenate([np.zeros(len(rows), np.int32), np.ones(len(ask), np.int32)])
+            rows, block, leaves = np.concatenate([rows, ask_rows]), np.concatenate([block, ask_block]), np.concatenate([leaves, ask])
+            leaves = np.where(leaves >= 0, leaves | (block << 40), -1)
             ok = leaves >= 0
             take = pa.array(rows[ok])
             yield pa.RecordBatch.from_arrays([pa.array(leaves[ok]), pa.array(kind[ok]), part.column(0).take(take), part.column(2).take(take)], ["leaf", "kind", "id", "v"])
