@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from graniteloom.functions import text as T
 from graniteloom.operators import bm25, retrieval
 from graniteloom.plans.base import CHILDREN_SQL, QUESTIONS_SQL, TF_SQL, children, questions, tokens_sql
-from graniteloom.runtime import table
+from graniteloom.runtime import table, written
 
 
 def _tf(spark: SparkSession, d: str) -> DataFrame:
     return bm25.term_frequencies(children(spark, d), "doc", "text")
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index: tokens are made once, whatever reads them."""
+    return written(_tf(spark, d), "index")
+
+
 def _terms(spark: SparkSession) -> DataFrame:
     return bm25.query_terms(questions(spark), "query", "question")
 
@@ -54,7 +59,7 @@ def a18_idf(spark, d):
 
 
 def k1_bm25_search(spark, d):
-    return bm25.search(_tf(spark, d), _terms(spark), 10)
+    return bm25.search(_index(spark, d), _terms(spark), 10)
 
 
 def pred6_any_term(spark, d):
@@ -106,7 +111,7 @@ def _hybrid_lists(spark, d):
     ch = children(spark, d)
     vec = _vectors(spark, d)
     # a question's vector is that of its best sparse hit that has one: offline there is no model to ask
-    sparse = bm25.search(_tf(spark, d), _terms(spark), 50)
+    sparse = written(bm25.search(_index(spark, d), _terms(spark), 50), "sparse")
     has = vec.groupBy(F.col("child_id").alias("doc")).agg(F.min(F.struct("vec_id", "embedding")).alias("m")).select("doc", "m.embedding")
     first = sparse.join(has, "doc").groupBy("query").agg(F.min(F.struct("rank", "embedding")).alias("m")).select("query", F.col("m.embedding").alias("vector"))
     dense = retrieval.dense_search(has, "doc", "embedding", first, 50)
@@ -128,7 +133,7 @@ def f30_multi_query(spark, d):
     half = F.ceil(F.size(w) / 2).cast("int")
     v = questions(spark).select("query", F.posexplode(F.array("question", F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " "))).alias("variant", "question"))
     terms = bm25.query_terms(v.select(F.struct("query", "variant").alias("qv"), "question"), "qv", "question")
-    lists = bm25.search(_tf(spark, d), terms, 20).select(F.col("query.query").alias("query"), F.col("query.variant").alias("variant"), "doc", "rank")
+    lists = bm25.search(_index(spark, d), terms, 20).select(F.col("query.query").alias("query"), F.col("query.variant").alias("variant"), "doc", "rank")
     return retrieval.fuse_variants(lists, 60, 10)
 
 
