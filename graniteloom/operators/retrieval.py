@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
-from graniteloom.functions import text as T
 
 
 def ranked(df: DataFrame, score: str = "score", key: str = "doc", by: tuple[str, ...] = ("query",)) -> DataFrame:
@@ -14,16 +20,59 @@ def ranked(df: DataFrame, score: str = "score", key: str = "doc", by: tuple[str,
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(*by).orderBy(F.desc(score), key)))
 
 
+QUERY_BLOCK = 4096  # queries that a task holds at a time: 2 MB of 64 numbers each
+MOST_QUERIES = 100_000
+
+
+def _dense_block(batches: Iterator[pa.RecordBatch], names: pa.Array, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(doc, v) to (query, doc, score): of each batch the k best for each query, ties to the smaller doc."""
+    for batch in batches:
+        keep = [i for i, v in enumerate(batch.column(1)) if v.is_valid and len(v) == q.shape[1] and v.values.null_count == 0]
+        part = batch.take(pa.array(keep, pa.int64()))
+        part = part.take(pc.sort_indices(part.column(0)))
+        m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
+        n = np.sqrt((m * m).sum(axis=1))
+        ok = np.isfinite(n) & (n > 0)
+        if not ok.any():
+            continue
+        at = np.nonzero(ok)[0]
+        cos = np.round(q @ (m[at] / n[at, None]).T, 6)
+        c = min(k, len(at))
+        edge = -np.partition(-cos, c - 1, axis=1)[:, c - 1]
+        rows, cols = [], []
+        for i in range(len(q)):
+            x = np.nonzero(cos[i] >= edge[i])[0]
+            x = x[np.argsort(-cos[i, x], kind="stable")[:c]]
+            rows.append(np.full(len(x), i))
+            cols.append(x)
+        r, x = np.concatenate(rows), np.concatenate(cols)
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), part.column(0).take(pa.array(at[x])), pa.array(cos[r, x])], ["query", "doc", "score"])
+
+
 def dense_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query, doc, score, rank): exact cosine top k. ``queries`` (query, vector) is a stated query set and joins in blocks.
+    """(query, doc, score, rank): exact cosine top k of a stated query set (query, vector), in blocks against all vectors.
 
-    Vectors are scaled once; each task scores its vectors against all queries, and only k rows of a query leave a task (window group limit).
-    Vectors of another length than the query's, null or zero ones give no row.
+    A task holds one block of queries and multiplies its vectors with it; at most k rows of a query leave a batch. More than ``MOST_QUERIES`` queries
+    are an error, to be asked in parts. Vectors of another length than the first query's and null, zero, or infinite ones give no row, as queries too. Keys are unique.
     """
-    v = vectors.select(F.col(f"`{key}`").alias("doc"), T.unit(F.col(f"`{vector}`")).alias("v")).where("v is not null and v[0] is not null")
-    q = queries.select("query", T.unit(F.col("vector")).alias("q"))
-    s = v.join(F.broadcast(q), F.size("v") == F.size("q")).select("query", "doc", F.round(T.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(s.where("score is not null")).where(F.col("rank") <= k)
+    spark = vectors.sparkSession
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), "doc": vectors.schema[key].dataType.simpleString()}
+    asked = queries.where("query is not null and vector is not null").select("query", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: ask in parts")
+    dim = len(asked[0]["vector"]) if asked else 0
+    asked = [r for r in asked if len(r["vector"]) == dim and None not in r["vector"]]
+    q = np.array([r["vector"] for r in asked], np.float64).reshape(-1, max(1, dim))
+    n = np.sqrt((q * q).sum(axis=1))
+    ok = np.nonzero(np.isfinite(n) & (n > 0))[0]
+    names, q = pa.array([asked[i]["query"] for i in ok], to_arrow_type(queries.schema["query"].dataType)), q[ok] / n[ok, None]
+    v = vectors.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{vector}`").alias("v"))
+    out = spark.createDataFrame([], f"query {kinds['query']}, doc {kinds['doc']}, score double")
+    for a in range(0, len(names), QUERY_BLOCK):
+        block = partial(_dense_block, names=names[a : a + QUERY_BLOCK], q=q[a : a + QUERY_BLOCK], k=k)
+        found = v.mapInArrow(block, f"query {kinds['query']}, doc {kinds['doc']}, score double")
+        out = found if a == 0 else out.unionByName(found)
+    return ranked(out).where(F.col("rank") <= k)
 
 
 def check_weights(dense: float, sparse: float) -> tuple[float, float]:
