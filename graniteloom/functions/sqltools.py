@@ -14,6 +14,11 @@ from pyspark.sql import SparkSession
 # Quote characters by dialect, words that open a statement, capitalised words that are no values.
 QUOTES = {"sqlite": "`", "mysql": "`", "spark": "`", "postgres": '"', "oracle": '"'}
 OPENERS = ("WITH", "SELECT", "INSERT", "UPDATE", "DELETE")
+# Quoted values, numbers outside dates, dates, and capitalised phrases of a question.
+QUOTED = r"""["']([^"']+)["']"""
+NUMBER = r"(?<!\d)(?<![/-])\b(\d+\.?\d*)\b(?![/-])"
+DATES = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}/\d{2}/\d{4}\b", r"\b\d{4}/\d{2}/\d{2}\b", r"\b\d{2}-\d{2}-\d{4}\b")
+CAPITALISED = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
 QUESTION_WORDS = ("Show", "List", "Find", "Get", "What", "Which", "Where", "How", "Why", "When", "Who", "Are", "Is", "The")
 
 
@@ -41,11 +46,11 @@ def where_clause(table: str, column: str, value: str, numeric: bool, dialect: st
 
 def question_literals(question: str) -> list[tuple[str, str]]:
     """(value, kind) pairs of a question: quoted, number, date, capitalised phrase; each once by lower-case value and kind."""
-    quoted = [m.strip() for m in re.findall(r"""["']([^"']+)["']""", question) if m.strip()]
-    numbers = re.findall(r"(?<!\d)(?<![/-])\b(\d+\.?\d*)\b(?![/-])", question)
-    dates = [m for p in (r"\d{4}-\d{2}-\d{2}", r"\d{2}/\d{2}/\d{4}", r"\d{4}/\d{2}/\d{2}", r"\d{2}-\d{2}-\d{4}") for m in re.findall(rf"\b{p}\b", question)]
+    quoted = [m.strip() for m in re.findall(QUOTED, question) if m.strip()]
+    numbers = re.findall(NUMBER, question)
+    dates = [m for p in DATES for m in re.findall(p, question)]
     low = {q.lower() for q in quoted}
-    names = [m for m in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", question) if m not in QUESTION_WORDS and len(m) > 2 and m.lower() not in low]
+    names = [m for m in re.findall(CAPITALISED, question) if m not in QUESTION_WORDS and len(m) > 2 and m.lower() not in low]
     found = [(v, k) for k, vs in (("quoted", quoted), ("number", numbers), ("date", dates), ("capitalized", names)) for v in vs]
     seen: set[tuple[str, str]] = set()
     return [x for x in found if not ((x[0].lower(), x[1]) in seen or seen.add((x[0].lower(), x[1])))]
@@ -97,11 +102,11 @@ def json_object(text: str) -> str | None:
 def format_results(rows: list, columns: list[str]) -> str:
     """A result as an answer: a scalar alone, else the first three rows and how many more."""
     if not rows:
-        return "No results found."
+        return "no rows"
     if len(rows) == 1 and len(columns) == 1:
         return str(rows[0][0])
     lines = [", ".join(f"{c}: {v}" for c, v in zip(columns, r)) for r in rows[:3]]
-    return "\n".join([*lines, *([f"... and {len(rows) - 3} more"] if len(rows) > 3 else [])])
+    return "\n".join([*lines, *([f"... {len(rows) - 3} more"] if len(rows) > 3 else [])])
 
 
 def with_links(sql: str) -> str:

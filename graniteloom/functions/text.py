@@ -12,13 +12,22 @@ ENGLISH_STOPWORDS = (
 )
 KOREAN_STOPWORDS = ("은", "는", "이", "가", "을", "를", "에", "와", "과", "도", "만", "의", "로", "으로", "에서", "부터", "까지", "에게", "한테", "께", "이다", "있다", "없다", "하다", "되다", "그", "저", "것")
 
+# What an index term is, where sentences end, titles whose full stop ends none, values and labels of masked questions.
+TERMS = "[가-힣]+|[a-z]+|[0-9]+"
+TERMS_ANY_CASE = "[가-힣]+|[A-Za-z]+|[0-9]+"
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z가-힣])"
+CLAIM_END = r"[.!?](?:\s+(?=[A-Z가-힣])|$)"
+TITLES = r"\b(Dr|Mr|Mrs|Ms|Prof)\."
+MASKED = (r"(?U)\b\d+(\.\d+)?\b", r"(?U)\b\d{4}-\d{2}-\d{2}\b", "'[^']*'", '"[^"]*"')
+ANSWER_LABELS = r"(?i)^(Masked Question:|Answer:|Output:)\s*"
+
 _EMPTY = "array<string>"
 
 
 def tokens(text: Column, lowercase: bool = True, stopwords: bool = True, shortest: int = 2, longest: int = 50) -> Column:
     """Index terms: runs of Hangul, of ASCII letters, of digits, between two lengths and no stopword. Null gives an empty array."""
     body = F.lower(text) if lowercase else text
-    found = F.regexp_extract_all(body, F.lit("[가-힣]+|[a-z]+|[0-9]+" if lowercase else "[가-힣]+|[A-Za-z]+|[0-9]+"), F.lit(0))
+    found = F.regexp_extract_all(body, F.lit(TERMS if lowercase else TERMS_ANY_CASE), F.lit(0))
     stop = [*ENGLISH_STOPWORDS, *KOREAN_STOPWORDS]
     keep = F.filter(found, lambda t: F.length(t).between(shortest, longest) & (~F.lower(t).isin(stop) if stopwords else F.lit(True)))
     return F.coalesce(keep, F.array().cast(_EMPTY))
@@ -68,27 +77,28 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
 
 def sentences(text: Column) -> Column:
     """Parts after ``.``, ``!`` or ``?`` and white space in front of a capital or a Hangul syllable."""
-    parts = F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z가-힣])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    parts = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: s != "")
 
 
 def claim_sentences(text: Column, shortest: int = 11) -> Column:
     """Sentences as a fact check takes them: titles keep their full stop, terminators go, and so do fragments of 10 characters or fewer."""
-    safe = F.regexp_replace(text, r"\b(Dr|Mr|Mrs|Ms|Prof)\.", "$1\u0001")
-    parts = F.transform(F.split(safe, r"[.!?](?:\s+(?=[A-Z가-힣])|$)", -1), lambda s: F.regexp_replace(F.translate(s, "\u0001", "."), r"^\s+|\s+$", ""))
+    safe = F.regexp_replace(text, TITLES, "$1\u0001")
+    parts = F.transform(F.split(safe, CLAIM_END, -1), lambda s: F.regexp_replace(F.translate(s, "\u0001", "."), r"^\s+|\s+$", ""))
     return F.filter(parts, lambda s: F.length(s) >= shortest)
 
 
 def mask_values(question: Column) -> Column:
     """Numbers, then ISO dates, then quoted strings become [VALUE]; a date's numbers are masked first, so it becomes three."""
-    c = F.regexp_replace(question, r"(?U)\b\d+(\.\d+)?\b", "[VALUE]")
-    c = F.regexp_replace(c, r"(?U)\b\d{4}-\d{2}-\d{2}\b", "[VALUE]")
-    return F.regexp_replace(F.regexp_replace(c, "'[^']*'", "[VALUE]"), '"[^"]*"', "[VALUE]")
+    c = question
+    for p in MASKED:
+        c = F.regexp_replace(c, p, "[VALUE]")
+    return c
 
 
 def longest_line(text: Column) -> Column:
     """A model's answer without its label and fences: the longest line, the first of several; empty if none."""
-    c = F.trim(F.replace(F.regexp_replace(text, r"(?i)^(Masked Question:|Answer:|Output:)\s*", ""), F.lit("```"), F.lit("")))
+    c = F.trim(F.replace(F.regexp_replace(text, ANSWER_LABELS, ""), F.lit("```"), F.lit("")))
     lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     ranked = F.transform(lines, lambda x, i: F.struct(F.length(x).alias("n"), (-i).alias("o"), x.alias("line")))
     return F.coalesce(F.array_max(ranked)["line"], F.lit(""))

@@ -32,7 +32,7 @@ Tool = Callable[[str], ToolResponse]
 def call(tool: Tool | None, query: str) -> ToolResponse:
     """A tool's response; an unknown tool or one that raises is a failure, not an exception."""
     if tool is None:
-        return ToolResponse(False, error="Unknown tool")
+        return ToolResponse(False, error="no such tool")
     try:
         return tool(query)
     except Exception as e:
@@ -45,7 +45,7 @@ def sql_tool(spark: SparkSession, candidates: Callable[[str], list[str]], lint=s
     def run(query: str) -> ToolResponse:
         sql = solve(spark, [sqltools.extract_sql(c) for c in candidates(query)], lint)
         if sql == NO_SQL:
-            return ToolResponse(False, error="No valid SQL generated", metadata={"sql": sql})
+            return ToolResponse(False, error="no candidate is valid", metadata={"sql": sql})
         df = spark.sql(sql.rstrip(";"))
         rows = [tuple(r) for r in df.limit(limit).collect()]
         return ToolResponse(True, sqltools.format_results(rows, df.columns), metadata={"sql": sql, "rows": len(rows)})
@@ -67,7 +67,7 @@ def document_tool(retrieve: Callable[[str], list[dict]], generate: Callable[[str
         chunks = chunks[:top_k]
         answer = generate(query, chunks)
         if len(answer.strip()) < 10:
-            return ToolResponse(False, error="Failed to generate an answer", context_chunks=chunks)
+            return ToolResponse(False, error="no answer", context_chunks=chunks)
         return ToolResponse(True, answer, context_chunks=chunks)
 
     return run
@@ -141,7 +141,7 @@ def multi_step(query: str, tools: dict[str, Tool], model, max_steps: int = 5, co
     s.plan = plan_with_repairs(model, f"Tools: {', '.join(tools)}\n{context}\nPlan the steps for: {query}")
     s.trace.append("plan")
     if not s.plan:
-        s.error = "Failed to generate valid execution plan"
+        s.error = "no valid plan"
     while s.plan and not s.error:
         step = s.plan.pop(0)
         r = call(tools.get(step.get("tool", "")), step.get("query", ""))
@@ -162,11 +162,11 @@ def multi_step(query: str, tools: dict[str, Tool], model, max_steps: int = 5, co
             s.plan.insert(0, step | {"query": model.generate(f"Rewrite this question so that it can be answered:\n{step.get('query', '')}").strip()})
     s.trace.append("synthesize")
     if not s.scratchpad:
-        s.error = s.error or "Insufficient evidence to answer query"
+        s.error = s.error or "no evidence for an answer"
         return s
     answer = model.generate("\n\n".join(s.scratchpad) + f"\n\nAnswer: {query}")
     if len(answer or "") < 10:
-        s.error = "Failed to generate adequate answer"
+        s.error = "no adequate answer"
     else:
         s.answer = answer
     return s

@@ -36,7 +36,8 @@ class TableSizes:
     broken_child: int = 350
 
 
-_UNIT = "struct<para:int,big:boolean,text:string,n:int>"
+# A first row of more tokens than the first, or than the second without a separator below it, is broken parsing.
+BROKEN_ROW, BROKEN_ROW_BARE = 1500, 500
 
 
 def _units(text: Column, separator: str, limit: int, size: Callable[[Column], Column]) -> Column:
@@ -92,7 +93,7 @@ def broken_table(text: Column, size: Callable[[Column], Column] = T.word_count)
     """Whether a table's parsing failed: a first row over 1,500 tokens, or over 500 without a separator row after it."""
     lines = F.split(text, "\n", -1)
     first, second = size(lines[0]), F.trim(F.translate(F.trim(F.get(lines, F.lit(1))), "|-", ""))
-    return (F.size(lines) >= 2) & ((first > 1500) | ((first > 500) & (second != "")))
+    return (F.size(lines) >= 2) & ((first > BROKEN_ROW) | ((first > BROKEN_ROW_BARE) & (second != "")))
 
 
 def broken_parts(tables: DataFrame, key: str, text: str, sizes: TableSizes = TableSizes()) -> tuple[DataFrame, DataFrame]:

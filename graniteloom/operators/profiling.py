@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 from pyspark.sql import window as W
 
-# SQL types that count as numeric or as text by a token of their name.
+# SQL types that count as numeric or as text by a token of their name, and how dates begin.
 NUMERIC_TYPES = ("INT", "INTEGER", "SMALLINT", "BIGINT", "TINYINT", "REAL", "FLOAT", "DOUBLE", "NUMERIC", "DECIMAL")
 TEXT_TYPES = ("TEXT", "CHAR", "CLOB", "VARCHAR", "STRING")
 DATES = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2})"

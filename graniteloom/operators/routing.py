@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 PATHS = ("complex_dual", "doc_only", "fact_only", "llm_only")
 POINTS = 3
 
+# The labels of a lane router's answer and the closing phrases that are no reasoning.
+LANE = r"(?i)LANE\s*[:：]\s*(fast|slow)"
+CONFIDENCE = r"(?i)CONFIDENCE\s*[:：]\s*([0-9]*\.?[0-9]+)"
+REASONING = r"(?is)REASONING\s*[:：]\s*(.+)$"
+FENCES = r"(?i)```[a-z]*\s*|\s*```"
+CLOSING = r"(?i)\s*(hope this helps|let me know).*$"
+
 #: Words that stand for each rule's condition.
 RULES = {
     "fact_only": r"(?iu)\b(how many|how much|number|percent|percentage|rate|total|sum|average|count|year|month|week|sales|by product|show|list)\b|[0-9]+|몇|얼마|비율|합계|평균|목록|가동률|매출",
@@ -41,15 +48,15 @@ def route(questions: DataFrame, question: str = "question") -> DataFrame:
 
 def lane(response: Column, default: str = "fast") -> Column:
     """struct(lane, confidence, reasoning) read from a router's answer: labels with either colon, any case; confidence 0.5 if missing, cut to [0, 1]."""
-    c = F.regexp_replace(response, r"(?i)```[a-z]*\s*|\s*```", "")
-    lane_ = F.lower(F.regexp_extract(c, r"(?i)LANE\s*[:：]\s*(fast|slow)", 1))
-    conf = F.regexp_extract(c, r"(?i)CONFIDENCE\s*[:：]\s*([0-9]*\.?[0-9]+)", 1)
-    why = F.trim(F.regexp_replace(F.trim(F.regexp_extract(c, r"(?is)REASONING\s*[:：]\s*(.+)$", 1)), r"[\n\r]+", " "))
-    why = F.trim(F.regexp_replace(why, r"(?i)\s*(hope this helps|let me know).*$", ""))
+    c = F.regexp_replace(response, FENCES, "")
+    lane_ = F.lower(F.regexp_extract(c, LANE, 1))
+    conf = F.regexp_extract(c, CONFIDENCE, 1)
+    why = F.trim(F.regexp_replace(F.trim(F.regexp_extract(c, REASONING, 1)), r"[\n\r]+", " "))
+    why = F.trim(F.regexp_replace(why, CLOSING, ""))
     return F.struct(
         F.when(lane_ != "", lane_).otherwise(default).alias("lane"),
         F.when(conf != "", F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf.cast("double")))).otherwise(0.5).alias("confidence"),
-        F.when(why != "", why).otherwise("Unable to parse LLM response").alias("reasoning"),
+        F.when(why != "", why).otherwise("not understood").alias("reasoning"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 
 from graniteloom.functions import text as T
 
+# Fixed value: the statement given where no candidate is valid.
 NO_SQL = "SELECT 'No valid SQL generated'"
 
 

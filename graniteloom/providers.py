@@ -92,7 +92,7 @@ def embed(text: Column, provider: Embedder, batch: int = 32, longest: int = 3800
 def valid_text(text: str | None, longest: int = 3800) -> str:
     """A text fit for embedding: not blank, at most ``longest`` words."""
     if not text or not text.strip():
-        raise ValueError("Text cannot be empty")
+        raise ValueError("blank text")
     w = text.split()
     return text if len(w) <= longest else " ".join(w[:longest])
 

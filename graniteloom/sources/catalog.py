@@ -42,7 +42,7 @@ class Database:
         for n, df in self.tables.items():
             if n.lower() == name.lower():
                 return n, df
-        raise ValueError(f"Table {name} not found")
+        raise ValueError(f"no table {name}")
 
     def table_names(self) -> list[str]:
         return sorted(self.tables)
@@ -97,4 +97,4 @@ def connect(spark: SparkSession, where: str, kind: str = "parquet", **options) -
         return Database(spark, parquet(spark, where, options.get("names")))
     if kind == "jdbc":
         return Database(spark, jdbc(spark, where, **options))
-    raise ValueError(f"Unsupported database type: {kind}")
+    raise ValueError(f"unknown kind of database: {kind}")

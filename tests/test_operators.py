@@ -130,7 +130,7 @@ def test_safety(spark):
 
 
 def test_lane(spark):
-    rows = [("LANE: fast\nCONFIDENCE: 0.9\nREASONING: simple", ("fast", 0.9, "simple")), ("```\nlane： SLOW confidence： 1.7\n```", ("slow", 1.0, "Unable to parse LLM response")), ("LANE: maybe", ("fast", 0.5, "Unable to parse LLM response")), ("LANE: slow\nCONFIDENCE: 0.87\nREASONING: one\ntwo Hope this helps!", ("slow", 0.87, "one two"))]
+    rows = [("LANE: fast\nCONFIDENCE: 0.9\nREASONING: simple", ("fast", 0.9, "simple")), ("```\nlane： SLOW confidence： 1.7\n```", ("slow", 1.0, "not understood")), ("LANE: maybe", ("fast", 0.5, "not understood")), ("LANE: slow\nCONFIDENCE: 0.87\nREASONING: one\ntwo Hope this helps!", ("slow", 0.87, "one two"))]
     got = frame(spark, [(t,) for t, _ in rows], "t string").select(routing.lane(F.col("t")).alias("r")).collect()
     assert [tuple(r["r"]) for r in got] == [w for _, w in rows]
 
@@ -178,8 +178,8 @@ def test_multi_step():
     s = agents.multi_step("q", {"sql": lambda q: good, "doc": lambda q: good}, Scripted([plan, "the final answer text"]))
     assert s.answer == "the final answer text" and s.steps == 2 and len(s.context) == 1
     s = agents.multi_step("q", {}, Scripted([plan, "again"]), max_steps=3)
-    assert s.error == "Insufficient evidence to answer query" and s.trace.count("rewrite") == 2 and s.steps == 3
-    assert agents.multi_step("q", {}, Scripted(["no plan"])).error == "Failed to generate valid execution plan"
+    assert s.error == "no evidence for an answer" and s.trace.count("rewrite") == 2 and s.steps == 3
+    assert agents.multi_step("q", {}, Scripted(["no plan"])).error == "no valid plan"
     assert agents.plan_with_repairs(Scripted(["bad", plan]), "p")[0]["tool"] == "sql"
 
 

@@ -70,7 +70,7 @@ def test_extraction():
     assert S.extract_sql("SQL: with x AS (SELECT 1) SELECT * FROM x; more") == "with x AS (SELECT 1) SELECT * FROM x;"
     assert S.clean_sql("```sql\nSELECT 1;\n```") == "SELECT 1"
     assert S.json_object('x {"a": "}"} y') == '{"a": "}"}' and S.json_object("none") is None
-    assert S.format_results([(1,), (2,), (3,), (4,)], ["n"]).endswith("... and 1 more")
+    assert S.format_results([(1,), (2,), (3,), (4,)], ["n"]).endswith("... 1 more")
 
 
 def test_lineage(spark):
