@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graniteloom.plans import documents, equipment, linking_queries, profiles, quality, search
+from graniteloom.plans import documents, equipment, linking_queries, profiles, quality, search, stated
 
-MODULES = (quality, search, profiles, documents, linking_queries, equipment)
+MODULES = (quality, search, profiles, documents, linking_queries, equipment, stated)
 
 
 def queries() -> dict:
