@@ -223,9 +223,9 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deletes(word: str, pairs: tuple[str, ...]) -> set[str]:
-    """A word without one character, or without one of ``pairs``; a Hangul consonant with its stroke or vowel counts as a pair."""
+    """A word without one character, or without one of ``pairs``; a Hangul syllable come apart (a letter beside a stroke or another part) counts as a pair."""
     out = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    out |= {word[:i] + word[i + 2 :] for i in range(len(word) - 1) if word[i : i + 2] in pairs or (_JAMO.match(word[i]) and (word[i + 1] in _STICK or _JAMO.match(word[i + 1])))}
+    out |= {word[:i] + word[i + 2 :] for i in range(len(word) - 1) if word[i : i + 2] in pairs or _JAMO.match(word[i + 1]) or (_JAMO.match(word[i]) and word[i + 1] in _STICK)}
     return out
 
 
@@ -287,9 +287,23 @@ def broken(pair: str, syllable: str) -> bool:
     return bool(_JAMO.match(pair[1])) and ord(pair[0]) - 0xAC00 == o - o % 28 and unicodedata.normalize("NFKD", syllable)[-1:] == _TAIL.get(tail, "")
 
 
-#: Hangul letters as a syllable's last, from the same letters as a syllable's first.
-_TAIL = {unicodedata.lookup(unicodedata.name(chr(c)).replace("CHOSEONG", "JONGSEONG")): unicodedata.lookup(unicodedata.name(chr(c)).replace("CHOSEONG", "JONGSEONG")) for c in range(0x1100, 0x1113) if unicodedata.name(chr(c)).split()[-1] not in ("SSANGTIKEUT", "SSANGPIEUP", "SSANGCIEUC")}
-_TAIL |= {chr(c): unicodedata.lookup(unicodedata.name(chr(c)).replace("CHOSEONG", "JONGSEONG")) for c in range(0x1100, 0x1113) if unicodedata.name(chr(c)).split()[-1] not in ("SSANGTIKEUT", "SSANGPIEUP", "SSANGCIEUC")}
+#: Hangul consonants that can end a syllable, as its first letter and as its last.
+_TAIL = {chr(c): unicodedata.lookup(unicodedata.name(chr(c)).replace("CHOSEONG", "JONGSEONG")) for c in range(0x1100, 0x1113) if unicodedata.name(chr(c)).split()[-1] not in ("SSANGTIKEUT", "SSANGPIEUP", "SSANGCIEUC")}
+_TAIL |= {chr(c): chr(c) for c in range(0x11A8, 0x11C3)}  # clusters have no first-letter form
+
+
+def composed(word: str) -> str:
+    """A word whose open syllables take up a consonant that stands after them alone: what needs no lexicon to repair."""
+    out: list[str] = []
+    for i, c in enumerate(word):
+        tail = _TAIL.get(unicodedata.normalize("NFKC", c)) if _JAMO.match(c) else None
+        o = ord(out[-1][-1]) - 0xAC00 if out else -1
+        opens = i + 1 < len(word) and (word[i + 1] in _STICK or 0x314F <= ord(word[i + 1]) <= 0x3163)
+        if tail and 0 <= o < 11172 and o % 28 == 0 and not opens:
+            out[-1] = chr(0xAC00 + o + ord(tail) - 0x11A7)
+        else:
+            out.append(c)
+    return "".join(out)
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,14 +418,14 @@ def _paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text.append(cut)
                 glue = i in whole
             s = re.sub(r"\n{3,}", "\n\n", "".join(text).strip())
-            out.append(_TOKEN.sub(lambda m: _cased(m.group(), swap), s) if swap else s)
+            out.append(_TOKEN.sub(lambda m: _cased(m.group(), swap), s) if swap or _JAMO.search(s) else s)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), batch.column("page"), pa.array(out, pa.string())], ["id", "file", "page", "text"])
 
 
 def _cased(word: str, swap: dict[str, str]) -> str:
     new = swap.get(word.lower())
     if new is None:
-        return word
+        return composed(word) if _JAMO.search(word) else word
     return new.upper() if word.isupper() else new[:1].upper() + new[1:] if word[:1].isupper() else new
 
 

@@ -265,6 +265,7 @@ def test_scan_pieces():
     assert scans.number("— 2I —") == (21, True) and scans.number("43쪽") == (43, True) and scans.number("62 / 96") == (62, True) and scans.number("E26") == (None, False) and scans.number("17") == (17, False)
     assert scans.skeleton("Test Bencli of the Macliine") == scans.skeleton("TEST BENCH OF THE MACHINE    12") and scans.skeleton("오ㄴ문로 지ㅊ1서") == scans.skeleton("온문로 지침서")
     assert scans.distance("nurnber", "number") == 0.5 and scans.distance("tiirned", "turned") == 0.5 and scans.distance("cat", "dog") == 3 and scans.broken("오ㄴ"[0] + "ㄴ", "온") and scans.broken("ㅊ1", "침")
+    assert scans.composed("세저ㅇ하고") == "세정하고" and scans.composed("ㅊ1서") == "ㅊ1서" and scans.composed("과ㄴ리") == "관리" and "세하고" in scans.deletes("세저ㅇ하고", ()) & scans.deletes("세정하고", ())
     assert scans.odd("rec0rd") == 3 and scans.odd("C3604") is None and scans.odd("3회") is None
 
 
