@@ -20,7 +20,7 @@ from pyspark.sql import window as W
 from graniteloom.llm.words import U, mix
 from graniteloom.runtime import written
 
-CHUNK = 1 << 22  # characters hashed at a time; below 2 ** 24, as positions share a word with hash bits
+CHUNK = 1 << 20  # characters hashed at a time; below 2 ** 24, as positions share a word with hash bits
 BROADCAST_ROWS = 200_000  # (counted) rows of two hashes sent to all executors: at most some 10 MB
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so invertible modulo 2 ** 64
 
