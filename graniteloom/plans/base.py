@@ -39,3 +39,9 @@ CHILDREN_SQL = "(SELECT child_id AS doc, any_value(coalesce(child_text, '')) AS
 
 TF_SQL = f"""tok AS (SELECT doc, {tokens_sql("text")} AS t FROM {CHILDREN_SQL}),
         tf AS (SELECT doc, term, count(*) AS tf, any_value(n) AS doc_length FROM (SELECT doc, len(t) AS n, unnest(t) AS term FROM tok) GROUP BY doc, term)"""
+
+
+def typed(oracles: dict[str, str], **types: dict[str, str]) -> dict[str, str]:
+    """``oracles`` with the columns named for a query cast to the types that Spark gives."""
+    cast = lambda cs: ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in cs.items())
+    return oracles | {k: f"SELECT * REPLACE ({cast(cs)}) FROM ({oracles[k]})" for k, cs in types.items()}

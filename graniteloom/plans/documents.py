@@ -111,7 +111,8 @@ def f36_evidence(spark, d):
 def f45_softmax(spark, d):
     """Over the first three numbers of each usable embedding."""
     v = table(spark, d, "embedding_results").where((F.size("embedding") >= 3) & ~F.exists(F.slice("embedding", 1, 3), lambda x: F.isnan(x)))
-    return v.select("vec_id", F.transform(T.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))), lambda x: F.round(x, 6)).alias("p"))
+    v = v.select("vec_id", T.softmax(F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))).alias("p"))
+    return v.select("vec_id", *[F.round(F.col("p")[i], 6).alias(f"p{i + 1}") for i in range(3)])
 
 
 def x22_answers(spark, d):
@@ -176,7 +177,7 @@ ORACLES = {
     "f45_softmax": """
         WITH v AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS e FROM embedding_results WHERE len(embedding) >= 3 AND len(list_filter(embedding[1:3], lambda x: isnan(x))) = 0),
         x AS (SELECT vec_id, list_transform(e, lambda y: exp(y - list_max(e))) AS e FROM v)
-        SELECT vec_id, list_transform(e, lambda y: round(y / list_sum(e), 6)) AS p FROM x""",
+        SELECT vec_id, round(e[1] / list_sum(e), 6) AS p1, round(e[2] / list_sum(e), 6) AS p2, round(e[3] / list_sum(e), 6) AS p3 FROM x""",
     "x22_answers": f"SELECT parent_id AS query, md5(string_agg(coalesce(child_text, ''), '' ORDER BY chunk_index, child_id)) AS digest FROM {_CONCE} GROUP BY parent_id",
 }
 

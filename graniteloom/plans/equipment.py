@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graniteloom.operators import voting
+from graniteloom.plans.base import typed
 from graniteloom.runtime import table
 from graniteloom.sources.catalog import Database
 from graniteloom.sources import parsing, stores
@@ -221,6 +222,8 @@ ORACLES = {
     "x4_fallback": "SELECT user_id AS question, arg_max(props, struct_pack(a := event_type, b := event_id)) AS sql FROM events GROUP BY user_id",
 }
 
+ORACLES = typed(ORACLES, a23_votes={"votes": "BIGINT"})
+
 QUERIES = {
     f.__name__: f
     for f in (sql_two_weeks, sql_week_pivot, sql_status_by_week, sql_running_equipment, s3_describe, s6_parameters, s7_sample, s8_row_count, s12_parser_choice, s14_element_types, s21_upserted, s26_status, o27_paths, streaming_windows, streaming_sessions, a29_latency, a28_accuracy, a23_votes, x4_fallback, w6_stratified, t7_examples)

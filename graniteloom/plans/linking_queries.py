@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graniteloom.operators import linking, profiling, routing
+from graniteloom.plans.base import typed
 from graniteloom.plans.profiles import profiles
 from graniteloom.runtime import table
 
@@ -182,6 +183,8 @@ ORACLES = {
             WHEN event_id % 3 >= event_id % 4 THEN 'fact_only' ELSE 'llm_only' END AS path FROM events""",
 }
 
+ORACLES = typed(ORACLES, o6_focused_fields={"position": "INTEGER"}, o7_relevant_tables={"position": "INTEGER"}, w5_shown_columns={"place": "INTEGER"})
+
 QUERIES = {
     f.__name__: f
     for f in (o6_focused_fields, j5_intersection, t1_single_sided, a22_field_statistics, a20_table_scores, o7_relevant_tables, w5_shown_columns, f41_planner_text, f39_schema_texts, f43_context, f39_compact, x3_schema_map, j7_enriched, t3_new_fields, t2_all_fields, k9_routes, k9_best_path)

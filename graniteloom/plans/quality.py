@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graniteloom.operators import load_profile
 from graniteloom.runtime import table
@@ -19,8 +20,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The full profile of every load and column."""
-    return load_profile.profile(table(spark, d, "eqp_mode_gen_hist"), "base_time")
+    """The full profile of every load and column, the top values as one text."""
+    p = load_profile.profile(table(spark, d, "eqp_mode_gen_hist"), "base_time")
+    top = F.array_join(F.transform("top_k_values", lambda x: F.concat(x["value"], F.lit(" ("), x["cnt"].cast("string"), F.lit(")"))), ", ")
+    return p.withColumn("top_k_values", top)
 
 
 def p2_divergence(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +65,12 @@ ORACLES = {
                      CAST(coalesce(sum(k) FILTER (v IS NOT NULL), 0) AS BIGINT) AS non_null_count, count(v) AS distinct_count,
                      CAST(min(length(v)) AS INT) AS min_length, CAST(max(length(v)) AS INT) AS max_length, min(v) AS min_value, max(v) AS max_value FROM c GROUP BY ALL),
         o AS (SELECT *, row_number() OVER (PARTITION BY base_time, column_name ORDER BY k DESC, v) AS r FROM c WHERE v IS NOT NULL),
-        t AS (SELECT base_time, column_name, list(struct_pack(value := v, cnt := k) ORDER BY r) AS top_k_values FROM o WHERE r <= 10 GROUP BY ALL),
+        t AS (SELECT base_time, column_name, string_agg(v || ' (' || k || ')', ', ' ORDER BY r) AS top_k_values FROM o WHERE r <= 10 GROUP BY ALL),
         m AS (SELECT base_time, column_name, mask, sum(k) AS k FROM c WHERE v IS NOT NULL GROUP BY ALL),
         b AS (SELECT m.base_time, m.column_name, max(m.k) / any_value(non_null_count) AS pattern_share, arg_min(mask, struct_pack(a := -m.k, b := mask)) AS common_pattern,
                      count(*) FILTER (m.k < 0.01 * non_null_count) AS rare_masks, CAST(coalesce(sum(m.k) FILTER (m.k < 0.01 * non_null_count), 0) AS BIGINT) AS rare_mask_rows
               FROM m JOIN s USING (base_time, column_name) GROUP BY ALL)
-        SELECT s.*, coalesce(top_k_values, []) AS top_k_values, common_pattern, pattern_share, coalesce(rare_masks, 0) AS rare_masks, coalesce(rare_mask_rows, 0) AS rare_mask_rows
+        SELECT s.*, coalesce(top_k_values, '') AS top_k_values, common_pattern, pattern_share, coalesce(rare_masks, 0) AS rare_masks, coalesce(rare_mask_rows, 0) AS rare_mask_rows
         FROM s LEFT JOIN t USING (base_time, column_name) LEFT JOIN b USING (base_time, column_name)""",
     "p2_divergence": f"""
         WITH u AS ({_LONG}),

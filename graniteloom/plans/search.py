@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteloom.functions import text as T
 from graniteloom.operators import bm25, retrieval
-from graniteloom.plans.base import CHILDREN_SQL, QUESTIONS_SQL, TF_SQL, children, questions, tokens_sql
+from graniteloom.plans.base import CHILDREN_SQL, QUESTIONS_SQL, TF_SQL, children, questions, tokens_sql, typed
 from graniteloom.runtime import table, written
 
 
@@ -234,6 +234,9 @@ ORACLES = {
         WHERE list_contains(coalesce(acl_users, []), 'kim') OR list_contains(coalesce(acl_groups, []), 'quality') OR (len(coalesce(acl_users, [])) = 0 AND len(coalesce(acl_groups, [])) = 0) GROUP BY parent_type""",
 }
 
+_RANK = {"rank": "INTEGER"}
+ORACLES = typed(ORACLES, f1_tokens={"terms": "INTEGER", "unique_terms": "INTEGER"}, a15_doc_lengths={"doc_length": "BIGINT", "terms": "INTEGER"}, k1_bm25_search=_RANK, k2_dense_search=_RANK, f30_multi_query=_RANK, o14_hybrid=_RANK | {"dense_rank": "INTEGER", "sparse_rank": "INTEGER"})
+
 QUERIES = {
     f.__name__: f
     for f in (f1_tokens, a14_term_frequencies, a15_doc_lengths, a16_document_frequencies, a16_stored_frequencies, a17_statistics, a18_idf, k1_bm25_search, pred6_any_term, s24_delete, s23_batch_status, s23_atomic_status, a27_health, k2_dense_search, o14_hybrid, f30_multi_query, j1_with_parents, j3_document_overview, pred11_visible)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graniteloom.functions import text as T
 from graniteloom.operators import bm25, linking, retrieval, routing, semantic, voting
-from graniteloom.plans.base import QUESTIONS_SQL, questions
+from graniteloom.plans.base import QUESTIONS_SQL, questions, typed
 from graniteloom.plans.profiles import profiles
 from graniteloom.providers import HashedShingles
 from graniteloom.runtime import table
@@ -170,6 +170,9 @@ def _profile_oracles() -> dict[str, str]:
 
 ORACLES |= _profile_oracles()
 
+_RANK = {"rank": "INTEGER"}
+ORACLES = typed(ORACLES, f29_fusion=_RANK, x10_result_rows=_RANK, f31_rerank_fallback=_RANK | {"rerank_score": "DOUBLE", "final_rank": "INTEGER"}, pred5_with_text=_RANK, pred8_overfetch=_RANK, f38_lanes={"confidence": "DOUBLE"})
+
 QUERIES = {
     f.__name__: f
     for f in (f29_fusion, x10_result_rows, f31_rerank_fallback, pred5_with_text, pred8_overfetch, f38_lanes, t5_variants, t6_chunks, x6_expanded, j2_parent_context, s35_index_statistics, s13_elements, pred7_lookup, t4_same_results, k11_limit_first, s36_semantic_search, f40_descriptions, x1_all_columns)

@@ -16,7 +16,7 @@ def one(spark, text, f):
     [
         ("Hello is a test", {}, ["hello", "test"]),
         ("한국어 텍스트입니다", {}, ["한국어", "텍스트입니다"]),
-        ("Upstage API는 excellent합니다", {}, ["upstage", "api", "excellent", "합니다"]),
+        ("Vendor API는 excellent합니다", {}, ["vendor", "api", "excellent", "합니다"]),
         ("short verylongword", {"longest": 5}, ["short"]),
         ("The QUICK Brown FOX", {"lowercase": False}, ["QUICK", "Brown", "FOX"]),
         ("이것은 테스트입니다", {}, ["이것은", "테스트입니다"]),
