@@ -67,7 +67,6 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     task = TaskContext.get().partitionId()
     code: dict[str, int] = {}
-    norm: dict[str, str] = {}
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size, number, last = 0, -1, None
 
@@ -98,7 +97,8 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids, terms, counts = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-        flat, num = terms.flatten().to_pylist(), counts.flatten()
+        # Python sees each distinct spelling of a batch once
+        coded, num = terms.flatten().dictionary_encode(), counts.flatten()
         num = num.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         lens = np.diff(terms.offsets.to_numpy())
         new = np.ones(len(ids), bool)
@@ -107,15 +107,12 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = x
         numbers = number + np.cumsum(new)
         number = int(numbers[-1]) if len(ids) else number
-        for s in set(flat).difference(norm):
-            norm[s] = normal(s)
-        t = np.fromiter((code.setdefault(norm[s], len(code)) for s in flat), np.int64, len(flat))
+        of = np.fromiter((code.setdefault(normal(s), len(code)) for s in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        t = of[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
         # an older row of a record adds its terms to the bitmap, but no occurrences
         n = num * np.repeat(new, lens)
         held.append((t, np.repeat(numbers, lens), n))
         size += len(t)
-        if len(norm) > 1_000_000:
-            norm.clear()
         if size >= FLUSH:
             yield from flush()
     if size:
