@@ -39,11 +39,16 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _packed(m: np.ndarray) -> pa.Array:
+    """Vectors as bytes: rows move through exchanges without being taken apart."""
+    return pa.array([r.tobytes() for r in m], pa.binary())
 
 
-def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+def _matrix(col: pa.Array, kind: str, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
+
+
+def _usable(batches: Iterator[pa.RecordBatch], dim: int, kind: str) -> Iterator[pa.RecordBatch]:
     """(id, k1, k2, v): vectors of ``dim`` finite numbers that are not all 0, with a key of their direction."""
     import xxhash
 
@@ -56,7 +61,7 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         if not at:
             continue
         part = vs.take(pa.array(at))
-        m = _matrix(part, dim)
+        m = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
         m = m[ok]
         if not len(m):
@@ -67,7 +72,7 @@ def _usable(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBa
         k1 = pa.array(np.array([k & (2**64 - 1) for k in rows], np.uint64).view(np.int64))
         k2 = pa.array(np.array([k >> 64 for k in rows], np.uint64).view(np.int64))
         keep = pa.array(np.array(at)[ok])
-        yield pa.RecordBatch.from_arrays([ids.take(keep), k1, k2, vs.take(keep)], ["id", "k1", "k2", "v"])
+        yield pa.RecordBatch.from_arrays([ids.take(keep), k1, k2, _packed(m.astype(kind))], ["id", "k1", "k2", "v"])
 
 
 class _Trees:
@@ -173,12 +178,12 @@ class _Trees:
         return out
 
 
-def _file(batches: Iterator[pa.RecordBatch], dim: int, trees: _Trees, probes: int) -> Iterator[pa.RecordBatch]:
+def _file(batches: Iterator[pa.RecordBatch], dim: int, kind: str, trees: _Trees, probes: int) -> Iterator[pa.RecordBatch]:
     """(id, query, v) to (leaf, kind, id, v): kind 0 files a vector, kind 1 asks with it."""
     for batch in batches:
         for a in range(0, batch.num_rows, 4096):
             part = batch.slice(a, 4096)
-            u = unit(_matrix(part.column(2), dim))
+            u = unit(_matrix(part.column(2), kind, dim))
             n = len(u)
             leaf = trees.leaves(u)
             asks = part.column(1).to_numpy(zero_copy_only=False)
@@ -193,12 +198,12 @@ def _file(batches: Iterator[pa.RecordBatch], dim: int, trees: _Trees, probes: in
             first = np.cumsum(each) - each
             ask_block = np.arange(each.sum()) - np.repeat(first, each)
             ask_rows, ask = np.repeat(ask_rows, each), np.repeat(ask, each)
-            kind = np.concatenate([np.zeros(len(rows), np.int32), np.ones(len(ask), np.int32)])
+            role = np.concatenate([np.zeros(len(rows), np.int32), np.ones(len(ask), np.int32)])
             rows, block, leaves = np.concatenate([rows, ask_rows]), np.concatenate([block, ask_block]), np.concatenate([leaves, ask])
             leaves = np.where(leaves >= 0, leaves | (block << 40), -1)
             ok = leaves >= 0
             take = pa.array(rows[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[ok]), pa.array(kind[ok]), part.column(0).take(take), part.column(2).take(take)], ["leaf", "kind", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[ok]), pa.array(role[ok]), part.column(0).take(take), part.column(2).take(take)], ["leaf", "kind", "id", "v"])
 
 
 def best(cos: np.ndarray, ids: np.ndarray, k: int, digits: int) -> np.ndarray:
@@ -216,14 +221,14 @@ def best(cos: np.ndarray, ids: np.ndarray, k: int, digits: int) -> np.ndarray:
     return np.argsort(-r, axis=1, kind="stable")[:, :k]
 
 
-def _rank(batches: Iterator[pa.RecordBatch], dim: int, k: int, digits: int) -> Iterator[pa.RecordBatch]:
+def _rank(batches: Iterator[pa.RecordBatch], dim: int, kind: str, k: int, digits: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (leaf, kind, id): the k best vectors of a leaf for each vector that asks there."""
     leaf, held, ids, block, names = None, [], [], None, None
     for batch in batches:
         lv = batch.column(0).to_numpy()
         kd = batch.column(1).to_numpy()
         iv = batch.column(2).to_numpy(zero_copy_only=False)
-        u = unit(_matrix(batch.column(3), dim))
+        u = unit(_matrix(batch.column(3), kind, dim))
         cut = np.nonzero(np.append(True, (lv[1:] != lv[:-1]) | (kd[1:] != kd[:-1])))[0]
         qs, ns, cs = [], [], []
         for a, b in zip(cut, np.append(cut[1:], len(lv))):
@@ -257,22 +262,22 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64
     Vectors of one direction (unit vectors equal to 5 decimals) are searched once, and only their k + 1 smallest ids can be
     neighbours of anything, so many copies are neither searched nor filed many times. With fewer vectors than a leaf holds the search is exact.
     """
-    use = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    use = use.mapInArrow(partial(_usable, dim=dim), "id long, k1 long, k2 long, v array<double>")
-    use = use.select("id", "k1", "k2", F.col("v").cast("array<float>").alias("v") if vectors.schema[vector].dataType.simpleString() == "array<float>" else "v")
+    use = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").alias("v"))
+    kind = "<f4" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+    use = use.mapInArrow(partial(_usable, dim=dim, kind=kind), "id long, k1 long, k2 long, v binary")
     use = written(use.dropDuplicates(["id"]), "vectors")
     count = use.count()
     # a bounded sample in the order of a hash: the driver learns the splits on it
     few = min(1.0, 1.2 * how.sample / max(1, count))
     picked = use.where(F.pmod(F.xxhash64("id", F.lit(how.seed)), F.lit(1 << 20)) < int(few * (1 << 20))).limit(how.sample).select("v")
-    sample = np.array([r[0] for r in picked.collect()], np.float64).reshape(-1, dim)
+    sample = np.frombuffer(b"".join(bytes(r[0]) for r in picked.collect()), kind).reshape(-1, dim).astype(np.float64)
     trees = _Trees(unit(sample), dim, count, how)
     # rank <= k + 1 is cut before the shuffle, so copies do not meet in one task
     w = W.Window.partitionBy("k1", "k2").orderBy("id")
     items = use.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     items = written(items.select("id", (F.col("r") == 1).alias("ask"), "v", "k1", "k2"), "directions")
-    filed = items.select("id", "ask", "v").mapInArrow(partial(_file, dim=dim, trees=trees, probes=how.probes), f"leaf long, kind int, id long, v {items.schema['v'].dataType.simpleString()}")
-    ranked = filed.repartition("leaf").sortWithinPartitions("leaf", "kind", "id").mapInArrow(partial(_rank, dim=dim, k=k + 1, digits=how.digits), "q long, n long, cosine double")
+    filed = items.select("id", "ask", "v").mapInArrow(partial(_file, dim=dim, kind=kind, trees=trees, probes=how.probes), "leaf long, kind int, id long, v binary")
+    ranked = filed.repartition("leaf").sortWithinPartitions("leaf", "kind", "id").mapInArrow(partial(_rank, dim=dim, kind=kind, k=k + 1, digits=how.digits), "q long, n long, cosine double")
     one = ranked.groupBy("q", "n").agg(F.max("cosine").alias("cosine"))
     lists = one.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("neg"), F.col("n")))), 1, k + 1).alias("near"))
     asked = items.where("ask").select(F.col("id").alias("q"), "k1", "k2")
