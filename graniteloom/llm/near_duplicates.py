@@ -1,9 +1,9 @@
 """Near-duplicate records by one-permutation hashing with optimal densification.
 
 Texts become sets of word runs. One hash permutation is cut into bins; empty bins borrow from a bin that a
-universal hash picks (Shrivastava, 2017). Bins are read in bands; texts that share a band's key stand in one bucket. A bucket of m texts gives at most
-2 (m - 1) candidate edges, from the two texts that a hash of the bucket makes its centres, never all pairs; exact Jaccard verifies every edge, and
-texts with a common verified neighbour are verified too. Exact copies (equal sets) are one class from the start.
+universal hash picks (Shrivastava, 2017). Bins are read in bands; texts that share a band's key stand in one bucket. All pairs of a bucket are compared by
+sketch, large buckets in pairs of salted blocks; what passes is a candidate, and exact Jaccard verifies every candidate. Texts with a common verified
+neighbour, reached over the two centres that a hash of each bucket picks, are verified too. Exact copies (equal sets) are one class from the start.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ class Similarity:
 SKETCH = 3  # 64-bit words of each of two bit planes
 #: Candidates of up to this many (counted) edges are sent to all executors to pick their sets: at most some 16 MB.
 BROADCAST_EDGES = 100_000
+#: Buckets of more texts are cut into blocks of about this many, and every two blocks meet under a key of their own.
+BLOCK = 1000
 
 
 def _densified(doc: np.ndarray, h: np.ndarray, n: int, bins: int) -> np.ndarray:
@@ -128,7 +130,8 @@ def signatures(docs: DataFrame, key: str, text: str, how: Similarity) -> DataFra
 
 
 def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the written class edges (a, b) those with a Jaccard similarity of at least ``threshold``."""
+    """Of the written class edges (a, b, ...) those with a Jaccard similarity of at least ``threshold``, with it; other columns are kept."""
+    more = [c for c in edges.columns if c not in ("a", "b")]
     # only sets that stand in an edge are moved
     ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     sets = sets.join(F.broadcast(ends) if edges.count() <= BROADCAST_EDGES else ends, "c", "left_semi")
@@ -136,9 +139,9 @@ def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     j = j.where(small >= threshold * large)
     both = F.size(F.array_intersect("sa", "sb"))
-    j = j.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
+    j = j.select("a", "b", *more, both.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     # i / (s - i) >= threshold with a margin for the rounding of threshold itself
-    return j.where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9).select("a", "b", (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).distinct()
+    return j.where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9).select("a", "b", *more, (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).distinct()
 
 
 def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
@@ -152,28 +155,37 @@ def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Simi
     members = sig.select("id", name.alias("c")).distinct()
     sets = sig.where(F.col("shingles").isNotNull()).select(name.alias("c"), "shingles")
     # one exchange serves both the choice of centres and the join with them; a bucket has one row for each text and task.
-    # c1 stands for the class here: should two classes share it, both become candidates and are verified
+    # c1 stands for the class here: should two classes share it, the join with the sketches brings both
     b = sig.where(F.size("bands") > 0).select("c1", F.explode("bands").alias("k")).repartition("k")
     order = F.struct(F.xxhash64("k", "c1").alias("o"), "c1")
-    centre = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo.c1 != hi.c1").select("k", F.col("lo.c1").alias("lo"), F.col("hi.c1").alias("hi"))
-    star = b.join(centre, "k").select("c1", F.explode(F.array("lo", "hi")).alias("y")).where("c1 != y")
-    star = star.select(F.least("c1", "y").alias("x"), F.greatest("c1", "y").alias("y")).distinct()
+    buckets = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo.c1 != hi.c1")
+    buckets = buckets.select("k", F.col("lo.c1").alias("lo"), F.col("hi.c1").alias("hi"), "blocks")
+    mates = b.join(buckets, "k").select("k", "c1", F.expr("c1 = lo or c1 = hi").alias("centre"), "blocks", F.pmod(F.xxhash64("c1"), "blocks").cast("int").alias("block")).distinct()
+    sk = sig.where(F.size("bands") > 0).select("c1", "c2", F.size("shingles").alias("n"), *_PLANES).repartition("c1").distinct()
+    mates = written(mates.join(sk, "c1"), "mates")
+    # every two blocks of a bucket meet once, a block with itself too
+    keep = lambda p: [F.col(c).alias(p + c) for c in ("c1", "c2", "n", "centre", *_PLANES)]
+    x = mates.select("k", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *keep("x_"))
+    y = mates.select("k", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *keep("y_"))
+    meet = x.join(y, ["k", "i", "j"]).where("i < j or x_c1 < y_c1 or (x_c1 = y_c1 and x_c2 < y_c2)")
     # two bits of each bin tell most chance meetings apart before whole sets are moved: a pair at the threshold agrees in (1 + 3 t) / 4
     # of the bins, and passes unless it falls 5 standard deviations (of as many draws as the smaller set has runs) below
-    sk = sig.where(F.size("bands") > 0).select("c1", name.alias("c"), F.size("shingles").alias("n"), *_PLANES)
-    pre = lambda p: sk.select(*[F.col(c).alias(p + c) for c in sk.columns])
-    star = star.join(pre("x_"), star["x"] == F.col("x_c1")).join(pre("y_"), star["y"] == F.col("y_c1"))
     agree = sum((F.bit_count(F.bitwise_not(F.col(f"x_s0{j}").bitwiseXOR(F.col(f"y_s0{j}")).bitwiseOR(F.col(f"x_s1{j}").bitwiseXOR(F.col(f"y_s1{j}"))))) for j in range(1, SKETCH)), F.bit_count(F.bitwise_not(F.col("x_s00").bitwiseXOR(F.col("y_s00")).bitwiseOR(F.col("x_s10").bitwiseXOR(F.col("y_s10"))))))
     mean = (1 + 3 * how.threshold) / 4
     draws = F.least("x_n", "y_n", F.lit(64 * SKETCH)).cast("double")
-    star = star.where(agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
-    star = written(star.select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).where("a != b").distinct(), "candidates")
-    one = written(_verified(star, sets, how.threshold), "edges")
-    # texts with a common verified neighbour: what the stars leave out of a bucket
-    nb = one.select(F.col("a").alias("m"), F.col("b").alias("x")).union(one.select(F.col("b").alias("m"), F.col("a").alias("x")))
+    meet = meet.where(agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
+    cls = lambda p: F.struct(F.col(p + "c1").alias("c1"), F.col(p + "c2").alias("c2"))
+    pair = meet.select(F.least(cls("x_"), cls("y_")).alias("u"), F.greatest(cls("x_"), cls("y_")).alias("v"), (F.col("x_centre") | F.col("y_centre")).alias("star"))
+    pair = pair.groupBy("u", "v").agg(F.max("star").alias("star"))
+    named = lambda p: F.concat(F.lpad(F.hex(p + ".c1"), 16, "0"), F.lpad(F.hex(p + ".c2"), 16, "0"))
+    pair = written(pair.select(F.least(named("u"), named("v")).alias("a"), F.greatest(named("u"), named("v")).alias("b"), "star"), "candidates")
+    one = written(_verified(pair, sets, how.threshold), "edges")
+    # texts with a common verified neighbour may share no bucket; over centres only, as all edges of a family would give cubes of paths
+    arm = one.where("star")
+    nb = arm.select(F.col("a").alias("m"), F.col("b").alias("x")).union(arm.select(F.col("b").alias("m"), F.col("a").alias("x")))
     two = nb.join(nb.select("m", F.col("x").alias("y")), "m").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
     two = written(two, "candidates")
-    pairs = one.unionByName(_verified(two, sets, how.threshold))
+    pairs = one.drop("star").unionByName(_verified(two, sets, how.threshold))
     return members, written(pairs, "pairs")
 
 

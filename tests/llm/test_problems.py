@@ -115,6 +115,31 @@ def test_hot_class(spark):
     assert g.where("class_id = 0").count() == 1000 and g.agg(F.sum("links")).first()[0] == 0 and g.count() == 3000
 
 
+def test_large_family(spark, monkeypatch):
+    """1,000 edited copies of one text, many near the threshold: each similar pair that shares a bucket is found, whole buckets or cut into blocks."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [r.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(1000):
+        t = list(base)
+        for _ in range(r.randrange(3, 9)):
+            t[r.randrange(len(t))] = r.choice(vocab)
+        rows.append((i, " ".join(t)))
+    sets = [set(zip(w, w[1:], w[2:])) for w in (t.split() for _, t in rows)]
+    want = {p for p in itertools.combinations(range(len(rows)), 2) if len(sets[p[0]] & sets[p[1]]) >= 0.6 * len(sets[p[0]] | sets[p[1]])}
+    df = spark.createDataFrame(rows, "id long, t string")
+    how = Similarity(3, 0.6, 30, 48, 4)
+    keys = {x["id"]: set(x["bands"]) for x in near_duplicates.signatures(df, "id", "t", how).select("id", "bands").collect()}
+    meet = {p for p in want if keys[p[0]] & keys[p[1]]}
+    assert len(want) > 3000 and len(meet) >= 0.998 * len(want)
+    origin = spark.createDataFrame([(i, str(i)) for i, _ in rows], "id long, origin string")
+    for block in (near_duplicates.BLOCK, 50):
+        monkeypatch.setattr(near_duplicates, "BLOCK", block)
+        got = {tuple(x) for x in near_duplicates.pairs_between(*near_duplicates.similar_classes(df, "id", "t", how), origin).collect()}
+        assert meet <= got <= want, (len(meet), len(meet - got), len(want), len(got - want))
+
+
 # 4 terms
 
 
