@@ -143,6 +143,24 @@ def test_path(spark):
 # voting
 
 
+def test_routes_of_documents(spark, tmp_path):
+    """Rule words count wherever they stand in a text, also after the first 60 characters."""
+    import re
+
+    from graniteloom.plans.linking_queries import k9_routes
+
+    pad = "lorem ipsum dolor sit amet " * 4
+    texts = ["average rate", pad + "how many days", pad * 50 + "the procedure", pad + "explain the total", "what is this", pad + "what is this", pad + "절차", "show " + pad + "why", "howl yearly " + pad, pad, "", None]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for t in texts:
+        hit = {p: t is not None and re.search(r, t) is not None for p, r in routing.RULES.items()}
+        hit["complex_dual"] = hit["fact_only"] and hit["doc_only"]
+        path = next((p for p in routing.PATHS if hit[p]), routing.PATHS[0])
+        want[path] = want.get(path, 0) + 1
+    assert {r["path"]: r["questions"] for r in k9_routes(spark, str(tmp_path)).collect()} == want
+
+
 def test_vote():
     assert voting.vote(["long a", "b", "a"], ["x", "y", "x"]) == "a"
     assert voting.vote(["first", "b"], [1, 2]) == "first"
