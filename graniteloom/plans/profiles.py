@@ -15,6 +15,7 @@ TABLES = {
     "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
     "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"),
     "cim_eqp_mst": ("site", "eqp_id", "eqp_no", "eqp_group", "cim_eqp_desc", "cim_eqp_type", "eqp_ip", "robot_ip", "funac_ip", "use_yn", "create_user", "create_time", "update_user", "update_time", "mode_type", "stop_base", "run_base", "cim_id"),
+    "eqp_mode_gen_hist": ("site", "eqp_id", "eqp_no", "cur_time", "create_time", "work_center", "test_user", "prod_order_number", "process_name", "lot_id", "item_number", "status", "eqp_part_number", "part_number", "start_date_time", "use_yn", "fst_create_sys", "last_update_sys", "last_update_time", "base_time", "eqp_mode", "status_d"),
     "nation": ("n_nationkey", "n_name", "n_regionkey"),
     "region": ("r_regionkey", "r_name"),
 }
