@@ -124,6 +124,22 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, top_k: i
     )
 
 
+def rare_masks(df: DataFrame, load: str, columns: list[str] | None = None, rare_share: float = 0.01) -> DataFrame:
+    """(load, column_name, mask, mask_rows, share, value, n): the values whose mask holds less than ``rare_share`` of its load and column.
+
+    One row per value, so a violation can be looked up; ``n`` counts the rows of the value, ``mask_rows`` those of its mask and
+    ``share`` is the mask's. Missing values have no mask. These are the masks that ``profile`` counts as ``rare_masks``.
+    """
+    v = value_counts(df, load, columns).where(F.col("value").isNotNull()).withColumn("mask", mask(F.col("value")))
+    v = written(v, "values")
+    m = v.groupBy("load", "column_name", "mask").agg(F.sum("n").alias("mask_rows"))
+    tot = _renamed(m.groupBy("load", "column_name").agg(F.sum("mask_rows").alias("non_null")))
+    rare = m.join(tot, _same()).where(F.col("mask_rows") < rare_share * F.col("non_null"))
+    rare = rare.select(F.col("load").alias("_load"), F.col("column_name").alias("_column"), F.col("mask").alias("_mask"), "mask_rows", (F.col("mask_rows") / F.col("non_null")).alias("share"))
+    out = v.join(rare, _same() & (F.col("mask") == F.col("_mask")))
+    return out.select(F.col("load").alias(load), "column_name", "mask", "mask_rows", "share", "value", "n")
+
+
 def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"load": "_load", "column_name": "_column"})
 

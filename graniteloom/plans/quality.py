@@ -31,6 +31,11 @@ def p2_divergence(spark: SparkSession, d: str) -> DataFrame:
     return load_profile.mask_divergence(table(spark, d, "eqp_mode_gen_hist"), "base_time")
 
 
+def p2_rare_masks(spark: SparkSession, d: str) -> DataFrame:
+    """The values of rare masks, load by load."""
+    return load_profile.rare_masks(table(spark, d, "eqp_mode_gen_hist"), "base_time")
+
+
 _LONG = " UNION ALL ".join(f"SELECT base_time, '{c}' AS column_name, {c} AS v FROM eqp_mode_gen_hist" for c in COLUMNS)
 _MASK = "regexp_replace(regexp_replace(v, '[A-Za-z]', 'A', 'g'), '[0-9]', 'N', 'g')"
 
@@ -81,6 +86,11 @@ ORACLES = {
               UNION ALL SELECT o.base_time, prev, column_name, mask, 0, share FROM s JOIN o ON s.base_time = o.prev),
         g AS (SELECT base_time, prev, column_name, mask, sum(a) AS a, sum(b) AS b FROM z GROUP BY ALL)
         SELECT base_time, prev AS previous_load, column_name, round(sum(abs(a - b)) / 2, 6) AS divergence FROM g GROUP BY ALL HAVING sum(a) > 0 AND sum(b) > 0""",
+    "p2_rare_masks": f"""
+        WITH u AS ({_LONG}),
+        c AS (SELECT base_time, column_name, {_MASK} AS mask, v AS value, count(*) AS n FROM u WHERE trim(v) <> '' GROUP BY ALL),
+        w AS (SELECT *, CAST(sum(n) OVER (PARTITION BY base_time, column_name, mask) AS BIGINT) AS mask_rows, sum(n) OVER (PARTITION BY base_time, column_name) AS t FROM c)
+        SELECT base_time, column_name, mask, mask_rows, mask_rows / t AS share, value, n FROM w WHERE mask_rows < 0.01 * t""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_divergence)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_divergence, p2_rare_masks)}

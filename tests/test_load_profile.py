@@ -96,3 +96,19 @@ def test_hot_load(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, "d2").otherwise("d1").alias("day"), F.lit("A1").alias("a"))
     r = {x["day"]: x for x in L.profile(df, "day").collect()}
     assert (r["d1"]["total_records"], r["d1"]["distinct_count"], r["d2"]["total_records"]) == (19_600, 1, 400)
+
+
+def test_rare_masks(table):
+    """Each value of a rare mask by name, a null load included; the sums are those of the profile."""
+    got = {(r["day"], r["column_name"], r["mask"], r["mask_rows"], round(r["share"], 9), r["value"], r["n"]) for r in L.rare_masks(table, "day", rare_share=0.3).collect()}
+    want = set()
+    for day in ("d1", "d2", None):
+        for i, name in enumerate(("a", "item_number", "load"), 1):
+            vs = [r[i] for r in ROWS if r[0] == day and r[i] is not None and r[i].strip(" ")]
+            masks = Counter(map(plain_mask, vs))
+            want |= {(day, name, plain_mask(v), masks[plain_mask(v)], round(masks[plain_mask(v)] / len(vs), 9), v, n) for v, n in Counter(vs).items() if masks[plain_mask(v)] < 0.3 * len(vs)}
+    assert got == want and want
+    p = {(r["day"], r["column_name"]): r for r in L.profile(table, "day", rare_share=0.3).collect()}
+    for key, r in p.items():
+        mine = [g for g in got if g[:2] == key]
+        assert r["rare_masks"] == len({g[2] for g in mine}) and r["rare_mask_rows"] == sum(g[6] for g in mine)
