@@ -40,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if the cluster names it.
 
-    Only where that setting is absent (tests, a laptop) a local folder is made and set.
+    Where that setting is absent a local master (tests, a laptop) makes and sets a local folder; any other raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="graniteloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -52,7 +54,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, columns stay prunable.
 
-    The files survive the loss of an executor and are dropped when the driver ends.
+    The files survive the loss of an executor and are dropped by ``freed`` or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -60,22 +62,36 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
         atexit.register(drop_written)
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may be gone by now; then remove what is local
+        if path.startswith("file://"):
+            import shutil
+
+            shutil.rmtree(path[len("file://") :], ignore_errors=True)
+
+
+def freed(*tables: DataFrame) -> None:
+    """Remove scratch tables that ``written`` gave and no later table reads."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            _written[:] = [x for x in _written if x[1] != path]
+            _remove(t.sparkSession, path)
 
 
 def drop_written() -> None:
     """Remove every scratch table this driver wrote."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone by now; then remove what is local
-            if path.startswith("file://"):
-                import shutil
-
-                shutil.rmtree(path[len("file://") :], ignore_errors=True)
+        _remove(*_written.pop())
 
 
 def latest(df: DataFrame, key: str, order: str | None) -> DataFrame:
