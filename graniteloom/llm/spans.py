@@ -3,7 +3,7 @@
 A token is a character. Windows of ``length`` characters that stand in two records are what is sought, and every such window holds,
 among its inner windows of half that length, the one whose hash is least: an anchor that both records choose alike (Schleimer et al., 2003). So a first pass hashes every
 half window and counts anchors only; a second hashes every full window whose anchor repeats, and Spark counts these. Nothing
-that is shared can be missed. Repeated windows merge into maximal intervals.
+that is shared can be missed; texts without a repeated anchor are not moved. Repeated windows merge into maximal intervals.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from graniteloom.llm.sieve import sieve, sifted
 from graniteloom.llm.words import U, mix
-from graniteloom.runtime import written
+from graniteloom.runtime import freed, written
 
 CHUNK = 1 << 20  # characters hashed at a time; below 2 ** 24, as positions share a word with hash bits
-BROADCAST_ROWS = 200_000  # (counted) rows of two hashes sent to all executors: at most some 10 MB
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so invertible modulo 2 ** 64
 
 
@@ -110,8 +110,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[t]), pa.array(np.array(offs, np.int64)[t] + pos - starts[t]), pa.array(h.view(np.int64))], ["doc", "pos", "h"])
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, repeated anchors) to (doc, pos, h1, h2, first): the full windows whose anchor repeats."""
+def _window_rows(batches: Iterator[pa.RecordBatch], length: int, places: bool) -> Iterator[pa.RecordBatch]:
+    """(doc, text, repeated anchors) to (doc, pos, h1, h2, first): the full windows whose anchor repeats; without ``places`` to (doc, h1, h2) of first rows."""
     for batch in batches:
         for i, t, near in zip(*(c.to_pylist() for c in batch.columns)):
             had = np.empty(0, np.uint64)  # windows in earlier parts of this text
@@ -130,35 +130,57 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 if len(t) > CHUNK:
                     first &= ~np.isin(h1, had)
                     had = np.union1d(had, h1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i)), pa.array(pos + a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(first)], ["doc", "pos", "h1", "h2", "first"])
+                if places:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pos), i)), pa.array(pos + a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(first)], ["doc", "pos", "h1", "h2", "first"])
+                elif first.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(first.sum()), i)), pa.array(h1[first].view(np.int64)), pa.array(h2[first].view(np.int64))], ["doc", "h1", "h2"])
 
 
-def windows(docs: DataFrame, key: str, text: str, length: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows (doc, pos, h1, h2, first) of windows that may repeat; groups (h1, h2, docs, x1, x2) of those in two records or more.
+def _suspects(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """(doc, t, near): the texts in which an anchor stands that another record has too, with the places of such anchors.
 
-    ``first`` marks a window's first place in its record; x1 and x2 sum up the set of records. Ids are bigint; rows with a null id or text and
-    texts under ``length`` characters take no part; a repeated id counts once (its greatest text).
+    Anchors, and then texts, that certainly have no partner are sifted out before they would be moved.
     """
     use = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("t")).where((F.length("t") >= length) & F.col("doc").isNotNull())
     a = written(use.mapInArrow(partial(_anchor_rows, length=length), "doc long, pos long, h long"), "anchors")
     twice = a.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    near = a.join(twice, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("near"))
-    sus = use.join(near, "doc").groupBy("doc").agg(F.max("t").alias("t"), F.first("near").alias("near"))
-    rows = written(sus.mapInArrow(partial(_window_rows, length=length), "doc long, pos long, h1 long, h2 long, first boolean"), "windows")
+    twice = written(twice, "twice")
+    near = sifted(a, "h", sieve(twice, "h")).join(twice, "h", "left_semi").groupBy("doc").agg(F.collect_set("pos").alias("near"))
+    near = written(near, "near")
+    freed(a, twice)
+    return sifted(use, "doc", sieve(near, "doc")).join(near, "doc").groupBy("doc").agg(F.max("t").alias("t"), F.first("near").alias("near"))
+
+
+def windows(docs: DataFrame, key: str, text: str, length: int = 300, places: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows (doc, pos, h1, h2, first) of windows that may repeat; groups (h1, h2, docs, x1, x2) of those in two records or more.
+
+    ``first`` marks a window's first place in its record; x1 and x2 sum up the set of records. Ids are bigint; rows with a null id or text and
+    texts under ``length`` characters take no part; a repeated id counts once (its greatest text). Without ``places`` rows are (doc, h1, h2) of first places
+    only, and groups go by h1 alone: whoever joins rows by a group has to compare h2.
+    """
+    kind = "doc long, pos long, h1 long, h2 long, first boolean" if places else "doc long, h1 long, h2 long"
+    rows = written(_suspects(docs, key, text, length).mapInArrow(partial(_window_rows, length=length, places=places), kind), "windows")
     # a record has one first row for each window: counting rows counts records
-    g = rows.where("first").groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("x2"))
+    g = rows.where("first").groupBy("h1", "h2") if places else rows.groupBy("h1")
+    g = g.agg(F.count("*").alias("docs"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("doc", F.lit(2))).alias("x2"))
     return rows, written(g.where("docs > 1"), "groups")
 
 
+def sharers(docs: DataFrame, key: str, text: str, length: int = 300) -> DataFrame:
+    """(h1, h2, doc): for each different set of records that share a window, one window of theirs with each record that has it.
+
+    As many rows as records in these sets, where their pairs would be a square of it: the form for passages that stand in many records.
+    """
+    rows, groups = windows(docs, key, text, length, places=False)
+    # windows that stand in the same records tell the same: one of them speaks for all
+    speak = written(groups.groupBy("docs", "x1", "x2").agg(F.min("h1").alias("h1")).select("h1"), "speakers")
+    freed(groups)
+    return sifted(rows, "h1", sieve(speak, "h1")).join(speak, "h1", "left_semi").select("h1", "h2", "doc")
+
+
 def shared_pairs(docs: DataFrame, key: str, text: str, length: int = 300) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: the records that share a passage of at least ``length`` characters."""
-    rows, groups = windows(docs, key, text, length)
-    # windows that stand in the same records give the same pairs: one of them speaks for all
-    speak = groups.groupBy("docs", "x1", "x2").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2")
-    speak = written(speak, "speakers")
-    if speak.count() <= BROADCAST_ROWS:
-        speak = F.broadcast(speak)
-    w = rows.where("first").join(speak, ["h1", "h2"], "left_semi").select("h1", "h2", "doc")
+    w = sharers(docs, key, text, length)
     p = w.withColumnRenamed("doc", "doc_a").join(w.withColumnRenamed("doc", "doc_b"), ["h1", "h2"]).where("doc_a < doc_b")
     return p.select("doc_a", "doc_b").distinct()
 
