@@ -1,6 +1,6 @@
 """Frequency of every distinct term by a vertical layout.
 
-Records are spread by id and numbered within their task, so numbers are dense. Each term of a task gets compressed bitmaps of record
+Records stay where they are read and are numbered within their task, so numbers are dense; only ids that may stand in several rows are brought together first. Each term of a task gets compressed bitmaps of record
 numbers (one for each 65,536 numbers: sorted 16-bit values while they are few, 8,192 bytes of bits beyond) with a parallel occurrence counter. Bitmaps of one
 term and block are merged by union; document frequency is read from their cardinality.
 """
@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graniteloom.llm.sieve import marked, sieve
+
 BLOCK = 1 << 16
 SPARSE = 4096  # a sorted list of 16-bit values is no larger than the bits up to here
 FLUSH = 2_000_000  # postings a task holds before it writes bitmaps
@@ -61,11 +64,11 @@ def cardinality(bitmap: bytes) -> int:
     return len(bitmap) // 2
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, newest, terms, counts), sorted by id, newest first, to (term, task, block, bitmap, occurrences)."""
+def _build(batches: Iterator[pa.RecordBatch], side: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, terms, counts), those of one id in a row, newest first, to (term, task, block, bitmap, occurrences); ``side`` tells the tasks of two calls apart."""
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    task = 2 * TaskContext.get().partitionId() + side
     code: dict[str, int] = {}
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size, number, last = 0, -1, None
@@ -154,8 +157,12 @@ def postings(index: DataFrame, key: str, frequencies: str, newest: Column | None
     """
     rows = index.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{frequencies}`").isNotNull())
     rows = rows.select(F.col(f"`{key}`").cast("string").alias("id"), (newest if newest is not None else F.lit(None)).alias("newest"), F.map_keys(frequencies).alias("terms"), F.map_values(frequencies).cast("array<bigint>").alias("counts"))
-    rows = rows.repartition("id").sortWithinPartitions("id", F.desc_nulls_last("newest")).select("id", "terms", "counts")
-    built = rows.mapInArrow(_build, "term string, task int, block int, bitmap binary, occurrences long")
+    again = index.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").cast("string").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    rows = marked(rows, "id", sieve(again, "id"), "again")
+    once = rows.where(~F.col("again")).select("id", "terms", "counts")
+    more = rows.where("again").repartition("id").sortWithinPartitions("id", F.desc_nulls_last("newest")).select("id", "terms", "counts")
+    built = [x.mapInArrow(partial(_build, side=i), "term string, task int, block int, bitmap binary, occurrences long") for i, x in enumerate((once, more))]
+    built = built[0].union(built[1])
     spread = built.repartition("term", "task", "block").sortWithinPartitions("term", "task", "block")
     return spread.mapInArrow(_merge, "term string, task int, block int, bitmap binary, occurrences long, cardinality long")
 
