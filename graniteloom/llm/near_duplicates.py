@@ -2,8 +2,9 @@
 
 Texts become sets of word runs. One hash permutation is cut into bins; empty bins borrow from a bin that a
 universal hash picks (Shrivastava, 2017). Bins are read in bands; texts that share a band's key stand in one bucket. All pairs of a bucket are compared by
-sketch, large buckets in pairs of salted blocks; what passes is a candidate, and exact Jaccard verifies every candidate. Texts with a common verified
-neighbour, reached over the two centres that a hash of each bucket picks, are verified too. Exact copies (equal sets) are one class from the start.
+sketch, large buckets in pairs of salted blocks; what passes is a candidate, and exact Jaccard verifies every candidate. Two centres that a hash picks
+in each bucket give star-shaped edges: texts with a common verified centre are compared too, should they share no bucket; each text goes by few centres, so that these
+pairs stay in the order of a family's own. Keys that only one class has are sifted out before rows move. Exact copies (equal sets) are one class from the start.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from graniteloom.llm.graph import connected_components
+from graniteloom.llm.sieve import sieve, sifted
 from graniteloom.llm.words import U, WordHashes, mix, runs, words
-from graniteloom.runtime import written
+from graniteloom.runtime import freed, written
 
 
 @dataclass(frozen=True)
@@ -37,8 +40,10 @@ class Similarity:
 
 
 SKETCH = 3  # 64-bit words of each of two bit planes
-#: Candidates of up to this many (counted) edges are sent to all executors to pick their sets: at most some 16 MB.
-BROADCAST_EDGES = 100_000
+#: A text is compared over at most this many of the centres it is verified to be similar to: those of the least hash, which similar texts choose alike.
+HUBS = 3
+#: Classes a task remembers to have given, so that a copy's set is written once for each task; beyond it starts anew.
+SEEN = 500_000
 #: Buckets of more texts are cut into blocks of about this many, and every two blocks meet under a key of their own.
 BLOCK = 1000
 
@@ -95,6 +100,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
             new = []
             for j, k in enumerate(zip(c1.tolist(), c2.tolist())):
                 if k not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(k)
                     new.append(j)
             isnew = np.zeros(n, bool)
@@ -129,64 +136,111 @@ def signatures(docs: DataFrame, key: str, text: str, how: Similarity) -> DataFra
     return use.mapInArrow(partial(_signatures, how=how), f"id {kind}, c1 long, c2 long, shingles array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in _PLANES))
 
 
+def _named(c1: str, c2: str) -> Column:
+    """The name of a class: its two numbers as 16 bytes."""
+    return F.unhex(F.concat(F.lpad(F.hex(c1), 16, "0"), F.lpad(F.hex(c2), 16, "0")))
+
+
+def _alike(how: Similarity) -> Column:
+    """Whether the sketches of x and y leave a similarity of the threshold possible.
+
+    Two bits of each bin tell most chance meetings apart before whole sets are moved: a pair at the threshold agrees in (1 + 3 t) / 4
+    of the bins, and passes unless it falls 5 standard deviations (of as many draws as the smaller set has runs) below.
+    """
+    differ = [F.col(f"x_s0{j}").bitwiseXOR(F.col(f"y_s0{j}")).bitwiseOR(F.col(f"x_s1{j}").bitwiseXOR(F.col(f"y_s1{j}"))) for j in range(SKETCH)]
+    agree = sum((F.bit_count(F.bitwise_not(x)) for x in differ[1:]), F.bit_count(F.bitwise_not(differ[0])))
+    mean = (1 + 3 * how.threshold) / 4
+    draws = F.least("x_n", "y_n", F.lit(64 * SKETCH)).cast("double")
+    short, long = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    return (short >= how.threshold * long - 1e-9) & (agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
+
+
 def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of the written class edges (a, b, ...) those with a Jaccard similarity of at least ``threshold``, with it; other columns are kept."""
     more = [c for c in edges.columns if c not in ("a", "b")]
     # only sets that stand in an edge are moved
-    ends = edges.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = sets.join(F.broadcast(ends) if edges.count() <= BROADCAST_EDGES else ends, "c", "left_semi")
+    sets = sifted(sets, "c", sieve(edges.select(F.explode(F.array("a", "b")).alias("c")), "c"))
     j = edges.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    j = j.where(small >= threshold * large)
+    j = j.where(small >= threshold * large - 1e-9)
     both = F.size(F.array_intersect("sa", "sb"))
     j = j.select("a", "b", *more, both.alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     # i / (s - i) >= threshold with a margin for the rounding of threshold itself
     return j.where(F.col("i") >= threshold * (F.col("s") - F.col("i")) - 1e-9).select("a", "b", *more, (F.col("i") / (F.col("s") - F.col("i"))).alias("similarity")).distinct()
 
 
-def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (id, c) for each text long enough, pairs (a, b, similarity) of classes, a < b.
-
-    Rows with a null id or text and texts under ``min_words`` words (or shorter than one run) are in no class.
-    A repeated row counts once. An empty table gives two empty results.
-    """
-    sig = written(signatures(docs, key, text, how), "signatures")
-    name = F.concat(F.lpad(F.hex("c1"), 16, "0"), F.lpad(F.hex("c2"), 16, "0"))
-    members = sig.select("id", name.alias("c")).distinct()
-    sets = sig.where(F.col("shingles").isNotNull()).select(name.alias("c"), "shingles")
-    # one exchange serves both the choice of centres and the join with them; a bucket has one row for each text and task.
+def _mates(sig: DataFrame) -> DataFrame:
+    """(k, c1, c2, n, planes, centre, block, blocks): the members of every bucket that two classes share, cut into blocks, two of them centres."""
+    b = sig.where(F.size("bands") > 0).select("c1", F.explode("bands").alias("k"))
     # c1 stands for the class here: should two classes share it, the join with the sketches brings both
-    b = sig.where(F.size("bands") > 0).select("c1", F.explode("bands").alias("k")).repartition("k")
+    twice = written(b.groupBy("k").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo != hi").select("k"), "keys")
+    b = written(sifted(b, "k", sieve(twice, "k")).join(twice, "k", "left_semi").distinct(), "buckets")
+    freed(twice)
     order = F.struct(F.xxhash64("k", "c1").alias("o"), "c1")
-    buckets = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo.c1 != hi.c1")
-    buckets = buckets.select("k", F.col("lo.c1").alias("lo"), F.col("hi.c1").alias("hi"), "blocks")
-    mates = b.join(buckets, "k").select("k", "c1", F.expr("c1 = lo or c1 = hi").alias("centre"), "blocks", F.pmod(F.xxhash64("c1"), "blocks").cast("int").alias("block")).distinct()
-    sk = sig.where(F.size("bands") > 0).select("c1", "c2", F.size("shingles").alias("n"), *_PLANES).repartition("c1").distinct()
-    mates = written(mates.join(sk, "c1"), "mates")
+    of = b.groupBy("k").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    of = of.select("k", F.col("lo.c1").alias("lo"), F.col("hi.c1").alias("hi"), "blocks")
+    m = b.join(of, "k").select("k", "c1", F.expr("c1 = lo or c1 = hi").alias("centre"), "blocks", F.pmod(F.xxhash64("c1"), "blocks").cast("int").alias("block"))
+    out = written(m.join(_sketches(sig, b.select("c1")), "c1"), "mates")
+    freed(b)
+    return out
+
+
+def _sketches(sig: DataFrame, of: DataFrame) -> DataFrame:
+    """(c1, c2, n, planes) of each class whose c1 stands in ``of`` (and of some others)."""
+    return sifted(sig.where(F.size("bands") > 0), "c1", sieve(of, "c1")).select("c1", "c2", F.size("shingles").alias("n"), *_PLANES).distinct()
+
+
+def _meetings(mates: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b, ca, cb): the pairs of classes in a bucket that their sketches do not tell apart; ca, cb mark an end that is a centre there."""
     # every two blocks of a bucket meet once, a block with itself too
     keep = lambda p: [F.col(c).alias(p + c) for c in ("c1", "c2", "n", "centre", *_PLANES)]
     x = mates.select("k", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), *keep("x_"))
     y = mates.select("k", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), *keep("y_"))
-    meet = x.join(y, ["k", "i", "j"]).where("i < j or x_c1 < y_c1 or (x_c1 = y_c1 and x_c2 < y_c2)")
-    # two bits of each bin tell most chance meetings apart before whole sets are moved: a pair at the threshold agrees in (1 + 3 t) / 4
-    # of the bins, and passes unless it falls 5 standard deviations (of as many draws as the smaller set has runs) below
-    agree = sum((F.bit_count(F.bitwise_not(F.col(f"x_s0{j}").bitwiseXOR(F.col(f"y_s0{j}")).bitwiseOR(F.col(f"x_s1{j}").bitwiseXOR(F.col(f"y_s1{j}"))))) for j in range(1, SKETCH)), F.bit_count(F.bitwise_not(F.col("x_s00").bitwiseXOR(F.col("y_s00")).bitwiseOR(F.col("x_s10").bitwiseXOR(F.col("y_s10"))))))
-    mean = (1 + 3 * how.threshold) / 4
-    draws = F.least("x_n", "y_n", F.lit(64 * SKETCH)).cast("double")
-    meet = meet.where(agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
+    meet = x.join(y, ["k", "i", "j"]).where("i < j or x_c1 < y_c1 or (x_c1 = y_c1 and x_c2 < y_c2)").where(_alike(how))
     cls = lambda p: F.struct(F.col(p + "c1").alias("c1"), F.col(p + "c2").alias("c2"))
-    pair = meet.select(F.least(cls("x_"), cls("y_")).alias("u"), F.greatest(cls("x_"), cls("y_")).alias("v"), (F.col("x_centre") | F.col("y_centre")).alias("star"))
-    pair = pair.groupBy("u", "v").agg(F.max("star").alias("star"))
-    named = lambda p: F.concat(F.lpad(F.hex(p + ".c1"), 16, "0"), F.lpad(F.hex(p + ".c2"), 16, "0"))
-    pair = written(pair.select(F.least(named("u"), named("v")).alias("a"), F.greatest(named("u"), named("v")).alias("b"), "star"), "candidates")
+    first = cls("x_") < cls("y_")
+    pair = meet.select(F.least(cls("x_"), cls("y_")).alias("u"), F.greatest(cls("x_"), cls("y_")).alias("v"), F.when(first, F.col("x_centre")).otherwise(F.col("y_centre")).alias("ca"), F.when(first, F.col("y_centre")).otherwise(F.col("x_centre")).alias("cb"))
+    pair = pair.groupBy("u.c1", "u.c2", F.col("v.c1").alias("d1"), F.col("v.c2").alias("d2")).agg(F.bool_or("ca").alias("ca"), F.bool_or("cb").alias("cb"))
+    return pair.select(_named("c1", "c2").alias("a"), _named("d1", "d2").alias("b"), "ca", "cb")
+
+
+def _over_hubs(edges: DataFrame, sig: DataFrame, how: Similarity) -> DataFrame:
+    """(a, b), a < b: the pairs of classes with a common verified centre that no bucket has brought together, and that their sketches do not tell apart.
+
+    Over centres only, and of those HUBS for each class, as all edges of a family would give cubes of paths.
+    """
+    arm = edges.where("cb").select(F.col("a").alias("c"), F.col("b").alias("m")).union(edges.where("ca").select(F.col("b").alias("c"), F.col("a").alias("m")))
+    w = W.Window.partitionBy("c").orderBy(F.xxhash64("m"), "m")
+    arm = arm.withColumn("r", F.row_number().over(w)).where(F.col("r") <= HUBS).select("c", "m")
+    sk = sifted(sig.where(F.size("bands") > 0).withColumn("c", _named("c1", "c2")), "c", sieve(arm, "c")).select("c", F.size("shingles").alias("n"), *_PLANES).distinct()
+    arm = written(arm.join(sk, "c"), "arms")
+    side = lambda p: arm.select("m", *[F.col(c).alias(p + c) for c in ("c", "n", *_PLANES)])
+    two = side("x_").join(side("y_"), "m").where("x_c < y_c").where(_alike(how)).select(F.col("x_c").alias("a"), F.col("y_c").alias("b")).distinct()
+    # the ends of an edge come in either order: by number there, by name here
+    had = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = written(two.join(had, ["a", "b"], "left_anti"), "candidates")
+    freed(arm)
+    return out
+
+
+def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Similarity()) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): members (id, c) for each text long enough, pairs (a, b, similarity) of classes, each once.
+
+    Rows with a null id or text and texts under ``min_words`` words (or shorter than one run) are in no class.
+    A repeated row counts once. An empty table gives two empty results.
+    """
+    sig = written(signatures(docs, key, text, how), "signatures")
+    members = written(sig.select("id", _named("c1", "c2").alias("c")).distinct(), "members")
+    sets = sig.where(F.col("shingles").isNotNull()).select(_named("c1", "c2").alias("c"), "shingles")
+    mates = _mates(sig)
+    pair = written(_meetings(mates, how), "candidates")
+    freed(mates)
     one = written(_verified(pair, sets, how.threshold), "edges")
-    # texts with a common verified neighbour may share no bucket; over centres only, as all edges of a family would give cubes of paths
-    arm = one.where("star")
-    nb = arm.select(F.col("a").alias("m"), F.col("b").alias("x")).union(arm.select(F.col("b").alias("m"), F.col("a").alias("x")))
-    two = nb.join(nb.select("m", F.col("x").alias("y")), "m").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(one, ["a", "b"], "left_anti")
-    two = written(two, "candidates")
-    pairs = one.drop("star").unionByName(_verified(two, sets, how.threshold))
-    return members, written(pairs, "pairs")
+    freed(pair)
+    two = _over_hubs(one, sig, how)
+    pairs = written(one.drop("ca", "cb").unionByName(_verified(two, sets, how.threshold)), "pairs")
+    freed(sig, one, two)
+    return members, pairs
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, how: Similarity = Similarity()) -> DataFrame:
