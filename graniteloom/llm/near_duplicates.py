@@ -78,24 +78,31 @@ def sketch(sig: np.ndarray) -> np.ndarray:
     return np.stack(planes, axis=1)
 
 
+def _shingled(texts: list[str | None], hashes: WordHashes, how: Similarity) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+    """(places, sets, c1, c2) of the texts long enough: their sets of run hashes, and the two numbers of their class."""
+    keep, sets = [], []
+    for i, t in enumerate(texts):
+        ws = words(t) if t is not None else []
+        if len(ws) >= max(how.min_words, how.run):
+            keep.append(i)
+            sets.append(np.unique(runs(hashes(ws), how.run)))
+    if not keep:
+        return keep, sets, np.empty(0, np.int64), np.empty(0, np.int64)
+    h, at = np.concatenate(sets), np.cumsum([0, *(len(s) for s in sets[:-1])])
+    with np.errstate(over="ignore"):
+        c1 = np.add.reduceat(mix(h), at).view(np.int64)
+    return keep, sets, c1, np.bitwise_xor.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), at).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
     for batch in batches:
         for start in range(0, batch.num_rows, 1000):
             part = batch.slice(start, 1000)
-            keep, sets = [], []
-            for i, t in enumerate(part.column(1).to_pylist()):
-                ws = words(t)
-                if len(ws) >= max(how.min_words, how.run):
-                    keep.append(i)
-                    sets.append(np.unique(runs(hashes(ws), how.run)))
+            keep, sets, c1, c2 = _shingled(part.column(1).to_pylist(), hashes, how)
             if not keep:
                 continue
             n, sizes = len(keep), np.array([len(s) for s in sets])
-            h, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)])
-            with np.errstate(over="ignore"):
-                c1 = np.add.reduceat(mix(h), at[:-1]).view(np.int64)
-            c2 = np.bitwise_xor.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), at[:-1]).view(np.int64)
             # a class that this task has had gives its members only
             new = []
             for j, k in enumerate(zip(c1.tolist(), c2.tolist())):
@@ -106,7 +113,6 @@ def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
                     new.append(j)
             isnew = np.zeros(n, bool)
             isnew[new] = True
-            shingles = pa.array([s.view(np.int64) if f else None for s, f in zip(sets, isnew)], pa.list_(pa.int64()))
             keys = np.zeros((0, how.bands), np.int64)
             bits = np.zeros((n, 2, SKETCH), np.int64)
             if new:
@@ -120,20 +126,32 @@ def _signatures(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[
             full = np.zeros(n + 1, np.int32)
             full[1:] = np.cumsum(np.where(isnew, how.bands, 0))
             bands = pa.ListArray.from_arrays(pa.array(full), pa.array(keys.ravel()))
-            row = part.take(pa.array(keep))
-            cols = {"id": row.column(0), "c1": pa.array(c1), "c2": pa.array(c2), "shingles": shingles, "bands": bands}
+            cols = {"id": part.column(0).take(pa.array(keep)), "c1": pa.array(c1), "c2": pa.array(c2), "n": pa.array(sizes.astype(np.int32)), "bands": bands}
             cols |= {f"s{i}{j}": pa.array(np.ascontiguousarray(bits[:, i, j])) for i in range(2) for j in range(SKETCH)}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
+def _sets(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """Texts to (c1, c2, shingles)."""
+    hashes = WordHashes()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            _, sets, c1, c2 = _shingled(batch.slice(start, 1000).column(0).to_pylist(), hashes, how)
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "shingles"])
+
+
 _PLANES = [f"s{i}{j}" for i in range(2) for j in range(SKETCH)]
 
 
 def signatures(docs: DataFrame, key: str, text: str, how: Similarity) -> DataFrame:
-    """(id, c1, c2, shingles, bands) of the texts long enough; c1, c2 name the class of texts with equal run sets."""
+    """(id, c1, c2, n, bands, planes) of the texts long enough; c1, c2 name the class of texts with equal sets of n runs. Bands are empty where a task had the class before."""
     kind = docs.schema[key].dataType.simpleString()
-    use = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
-    return use.mapInArrow(partial(_signatures, how=how), f"id {kind}, c1 long, c2 long, shingles array<long>, bands array<long>, " + ", ".join(f"{c} long" for c in _PLANES))
+    return _texts(docs, key, text).mapInArrow(partial(_signatures, how=how), f"id {kind}, c1 long, c2 long, n int, bands array<long>, " + ", ".join(f"{c} long" for c in _PLANES))
+
+
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t")).where("id is not null and t is not null")
 
 
 def _named(c1: str, c2: str) -> Column:
@@ -155,11 +173,17 @@ def _alike(how: Similarity) -> Column:
     return (short >= how.threshold * long - 1e-9) & (agree >= 64 * SKETCH * (mean - 5 * F.sqrt(F.lit(mean * (1 - mean)) / draws)))
 
 
-def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of the written class edges (a, b, ...) those with a Jaccard similarity of at least ``threshold``, with it; other columns are kept."""
-    more = [c for c in edges.columns if c not in ("a", "b")]
-    # only sets that stand in an edge are moved
-    sets = sifted(sets, "c", sieve(edges.select(F.explode(F.array("a", "b")).alias("c")), "c"))
+def _verified(edges: DataFrame, texts: DataFrame, members: DataFrame, how: Similarity) -> DataFrame:
+    """Of the written class edges (a, b, ...) those with a Jaccard similarity of at least ``threshold``, with it; other columns are kept.
+
+    Sets are made anew from one text of each class that stands in an edge, so that the sets of all texts are neither kept nor moved.
+    """
+    more, threshold = [c for c in edges.columns if c not in ("a", "b")], how.threshold
+    ends = edges.select(F.explode(F.array("a", "b")).alias("c"))
+    ends = sieve(ends, "c")
+    one = sifted(members, "c", ends).groupBy("c").agg(F.min("id").alias("id"))
+    sets = sifted(texts, "id", sieve(one, "id")).select("t").mapInArrow(partial(_sets, how=how), "c1 long, c2 long, shingles array<long>").select(_named("c1", "c2").alias("c"), "shingles")
+    sets = sifted(sets, "c", ends)
     j = edges.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     j = j.where(small >= threshold * large - 1e-9)
@@ -187,7 +211,7 @@ def _mates(sig: DataFrame) -> DataFrame:
 
 def _sketches(sig: DataFrame, of: DataFrame) -> DataFrame:
     """(c1, c2, n, planes) of each class whose c1 stands in ``of`` (and of some others)."""
-    return sifted(sig.where(F.size("bands") > 0), "c1", sieve(of, "c1")).select("c1", "c2", F.size("shingles").alias("n"), *_PLANES).distinct()
+    return sifted(sig.where(F.size("bands") > 0), "c1", sieve(of, "c1")).select("c1", "c2", "n", *_PLANES).distinct()
 
 
 def _meetings(mates: DataFrame, how: Similarity) -> DataFrame:
@@ -212,7 +236,7 @@ def _over_hubs(edges: DataFrame, sig: DataFrame, how: Similarity) -> DataFrame:
     arm = edges.where("cb").select(F.col("a").alias("c"), F.col("b").alias("m")).union(edges.where("ca").select(F.col("b").alias("c"), F.col("a").alias("m")))
     w = W.Window.partitionBy("c").orderBy(F.xxhash64("m"), "m")
     arm = arm.withColumn("r", F.row_number().over(w)).where(F.col("r") <= HUBS).select("c", "m")
-    sk = sifted(sig.where(F.size("bands") > 0).withColumn("c", _named("c1", "c2")), "c", sieve(arm, "c")).select("c", F.size("shingles").alias("n"), *_PLANES).distinct()
+    sk = sifted(sig.where(F.size("bands") > 0).withColumn("c", _named("c1", "c2")), "c", sieve(arm, "c")).select("c", "n", *_PLANES).distinct()
     arm = written(arm.join(sk, "c"), "arms")
     side = lambda p: arm.select("m", *[F.col(c).alias(p + c) for c in ("c", "n", *_PLANES)])
     two = side("x_").join(side("y_"), "m").where("x_c < y_c").where(_alike(how)).select(F.col("x_c").alias("a"), F.col("y_c").alias("b")).distinct()
@@ -231,14 +255,14 @@ def similar_classes(docs: DataFrame, key: str, text: str, how: Similarity = Simi
     """
     sig = written(signatures(docs, key, text, how), "signatures")
     members = written(sig.select("id", _named("c1", "c2").alias("c")).distinct(), "members")
-    sets = sig.where(F.col("shingles").isNotNull()).select(_named("c1", "c2").alias("c"), "shingles")
+    texts = _texts(docs, key, text)
     mates = _mates(sig)
     pair = written(_meetings(mates, how), "candidates")
     freed(mates)
-    one = written(_verified(pair, sets, how.threshold), "edges")
+    one = written(_verified(pair, texts, members, how), "edges")
     freed(pair)
     two = _over_hubs(one, sig, how)
-    pairs = written(one.drop("ca", "cb").unionByName(_verified(two, sets, how.threshold)), "pairs")
+    pairs = written(one.drop("ca", "cb").unionByName(_verified(two, texts, members, how)), "pairs")
     freed(sig, one, two)
     return members, pairs
 
