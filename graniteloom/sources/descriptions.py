@@ -2,24 +2,47 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteloom.operators.linking import csv_first
 
+_FIELDS = ("column_name", "original_column_name", "column_description", "value_description")
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of CSV files to (table_name, column_name, description), each file by its own header."""
+    for batch in batches:
+        out: dict[tuple[str, str], str] = {}
+        for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                text = body.decode("utf-8-sig")
+            except UnicodeDecodeError:
+                continue
+            table = path.rsplit("/", 1)[-1].removesuffix(".csv")
+            for row in csv.DictReader(io.StringIO(text, newline="")):
+                name, original, about, values = ((row.get(c) or "").strip() for c in _FIELDS)
+                full = ". ".join(x for x in (about, values) if x)
+                if (name or original) and full:
+                    out[table, name or original] = full
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out]), pa.array([k[1] for k in out]), pa.array(list(out.values()))], ["table_name", "column_name", "description"])
+
 
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
     """(table_name, column_name, description, source) of ``path/*.csv``; the file name is the table.
 
-    The column is column_name, else original_column_name; the description joins column_description and value_description. Rows without either are left out.
+    The column is column_name, else original_column_name; the description joins column_description and value_description. Rows without either are left out,
+    of a column that stands twice in a file the last row counts, files that are not UTF-8 give none. Columns may stand in another order in each file.
     """
-    r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(f"{path}/*.csv")
-    col = lambda c: F.trim(F.coalesce(F.col(c) if c in r.columns else F.lit(None).cast("string"), F.lit("")))
-    name = F.when(col("column_name") != "", col("column_name")).otherwise(col("original_column_name"))
-    d, v = col("column_description"), col("value_description")
-    about = F.when((d != "") & (v != ""), F.concat(d, F.lit(". "), v)).otherwise(F.concat(d, v))
-    t = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    return r.select(t.alias("table_name"), name.alias("column_name"), about.alias("description"), F.lit("csv").alias("source")).where("column_name <> '' and description <> ''")
+    files = spark.read.format("binaryFile").load(f"{path}/*.csv").select("path", "content")
+    return files.mapInArrow(_described, "table_name string, column_name string, description string").withColumn("source", F.lit("csv"))
 
 
 def from_json(spark: SparkSession, path: str, db: str) -> DataFrame:
@@ -39,7 +62,9 @@ def load(spark: SparkSession, csv_path: str | None, json_path: str | None, db: s
     for f in ((lambda: from_csv(spark, csv_path)) if csv_path else None, (lambda: from_json(spark, json_path, db)) if json_path else None):
         try:
             parts.append(f() if f else None)
-        except Exception:  # the path does not exist
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             parts.append(None)
     empty = spark.createDataFrame([], "table_name string, column_name string, description string, source string")
     return csv_first(parts[0] if parts[0] is not None else empty, parts[1] if parts[1] is not None else empty)
