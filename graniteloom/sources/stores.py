@@ -6,25 +6,45 @@ import json
 import os
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Put a finished folder in the place of another: readers see the old or the new rows, never half."""
-    jvm = spark.sparkContext._jvm
-    a, b, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (new, path, path + ".old"))
-    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(b):
-        fs.rename(b, old)
-    fs.rename(a, b)
-    fs.delete(old, True)
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of a store's finished versions. A version is a folder ``path/v<number>``; Spark's _SUCCESS file, written last, makes it count."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    found = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()]
+    return sorted(n for n in found if fs.exists(_fs(spark, f"{path}/v{n}/_SUCCESS")[0]))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a store's newest version; a store that is not there raises FileNotFoundError."""
+    v = versions(spark, path)
+    if not v:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{v[-1]}")
+
+
+def replace(spark: SparkSession, path: str, rows: DataFrame, version: int | None = None) -> DataFrame:
+    """Write ``rows`` (which may come from the store itself) as its next version: readers see the old state or the new one, at any time, and nothing is renamed.
+
+    The version before is kept for those who still read it, older ones go.
+    """
+    v = versions(spark, path)
+    n = version if version is not None else v[-1] + 1 if v else 1
+    rows.write.mode("overwrite").parquet(f"{path}/v{n}")
+    for old in v[:-1]:
+        drop_store(spark, f"{path}/v{old}")
+    return spark.read.parquet(f"{path}/v{n}")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,19 +56,15 @@ def upserted(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = (
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Upsert into a Parquet store, which is made if absent; the new state replaces the old one whole."""
-    rows = upserted(spark.read.parquet(path), new, key, keep) if _exists(spark, path) else new
-    rows.write.mode("overwrite").parquet(path + ".new")
-    _swap(spark, path + ".new", path)
-    return spark.read.parquet(path)
+    """Upsert into a Parquet store, which is made if absent; the new state replaces the old one whole, as a version of its own."""
+    return replace(spark, path, upserted(read_store(spark, path), new, key, keep) if versions(spark, path) else new)
 
 
 def truncate(spark: SparkSession, *paths: str) -> None:
     """Empty stores, children before their parents; the schema stays."""
     for p in paths:
-        if _exists(spark, p):
-            spark.read.parquet(p).limit(0).write.mode("overwrite").parquet(p + ".new")
-            _swap(spark, p + ".new", p)
+        if versions(spark, p):
+            replace(spark, p, read_store(spark, p).limit(0))
 
 
 def ingestion_status(errors: Column, children: Column) -> Column:
@@ -90,13 +106,15 @@ def load_vectors(spark: SparkSession, path: str, model: str, dim: int) -> DataFr
     try:
         about = spark.read.parquet(f"{path}/about").first()
         return spark.read.parquet(f"{path}/vectors") if about and (about["model"], about["dim"]) == (model, dim) else None
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def drop_store(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
 
 
 LOG_SCHEMA = "timestamp timestamp, type string, query string, scores map<string,double>, selected_path string, reasoning string, path string, success boolean, answer_length int, has_error boolean, message string, context map<string,string>, tool_name string, latency_ms double"

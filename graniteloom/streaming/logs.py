@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteloom.operators import bm25
-from graniteloom.sources.stores import LOG_SCHEMA, upsert
+from graniteloom.sources.stores import LOG_SCHEMA, drop_store, replace, versions
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -27,23 +27,35 @@ def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", la
 
 
 def keep_frequencies(docs: DataFrame, key: str, text: str, path: str, checkpoint: str):
-    """Start a stream that keeps ``path`` = (term, df, batch) current as documents arrive: each batch adds its own counts.
+    """Start a stream that keeps the counts under ``path`` current as documents arrive; ``frequencies`` reads them.
 
-    A batch that is run again after a failure is known by its number and skipped, so counts are exact for append-only documents.
+    Each batch writes its own counts, as ``path/batches/v<number>``. A batch that is run again writes over what it wrote before, so counts are exact
+    for append-only documents, and no batch rewrites the others' counts. ``compact`` sums old batches now and then.
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = bm25.document_frequencies(bm25.term_frequencies(batch, key, text)).withColumn("batch", F.lit(number))
-        try:
-            old = spark.read.parquet(path)
-            if (old.agg(F.max("batch")).first()[0] or -1) >= number:
-                return
-            add_to = old.select("term", F.col("df").alias("before"))
-            new = new.join(add_to, "term", "left").select("term", (F.col("df") + F.coalesce("before", F.lit(0))).alias("df"), "batch")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        upsert(spark, path, new, "term")
+        bm25.document_frequencies(bm25.term_frequencies(batch, key, text)).write.mode("overwrite").parquet(f"{path}/batches/v{number}")
 
     return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def frequencies(spark: SparkSession, path: str) -> DataFrame:
+    """(term, df) of all batches that are in; none yet, no rows."""
+    base = versions(spark, f"{path}/sums")[-1:]
+    folders = [f"{path}/sums/v{n}" for n in base] + [f"{path}/batches/v{n}" for n in versions(spark, f"{path}/batches") if not base or n > base[0]]
+    kinds = "term string, df bigint"
+    rows = spark.read.schema(kinds).parquet(*folders) if folders else spark.createDataFrame([], kinds)
+    return rows.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Sum all batches but the last, which may be run again, into ``path/sums/v<its last batch>``; the summed batches are removed once the sum is whole."""
+    done = versions(spark, f"{path}/batches")[:-1]
+    base = versions(spark, f"{path}/sums")[-1:]
+    new = [n for n in done if not base or n > base[0]]
+    if new:
+        folders = [f"{path}/sums/v{n}" for n in base] + [f"{path}/batches/v{n}" for n in new]
+        rows = spark.read.schema("term string, df bigint").parquet(*folders).groupBy("term").agg(F.sum("df").alias("df"))
+        replace(spark, f"{path}/sums", rows, new[-1])
+    for n in done:
+        drop_store(spark, f"{path}/batches/v{n}")

@@ -55,8 +55,23 @@ def test_upsert_store(spark, tmp_path):
     stores.upsert(spark, p, row((1, "a", "x"), (2, "b", "x")), "k")
     got = stores.upsert(spark, p, row((2, "B", "y"), (3, "c", "y")), "k", keep=("made",))
     assert sorted(map(tuple, got.collect())) == [(1, "a", "x"), (2, "B", "x"), (3, "c", "y")]
+    assert stores.versions(spark, p) == [1, 2]
+    # a version that was not finished does not count, and is written over
+    row((9, "z", "z")).write.parquet(f"{p}/v3")
+    (tmp_path / "s" / "v3" / "_SUCCESS").unlink()
+    assert stores.read_store(spark, p).count() == 3
     stores.truncate(spark, p)
-    assert spark.read.parquet(p).count() == 0
+    assert stores.read_store(spark, p).count() == 0 and stores.versions(spark, p) == [2, 3]
+    with pytest.raises(FileNotFoundError):
+        stores.read_store(spark, str(tmp_path / "none"))
+
+
+def test_descriptions_by_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("column_name,column_description\nnm,the name\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("value_description,original_column_name,column_description,column_name\nw,k,the key,\n,,lost,\n\"a, b\",k2,,\nlater,k2,,\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_bytes(b"column_name,column_description\n\xff,x\n")
+    got = {(r["table_name"], r["column_name"]): r["description"] for r in descriptions.from_csv(spark, str(tmp_path)).collect()}
+    assert got == {("a", "nm"): "the name", ("b", "k"): "the key. w", ("b", "k2"): "later"}
 
 
 def test_jobs_cache_vectors(spark, tmp_path):
@@ -96,7 +111,22 @@ def test_stream_of_frequencies(spark, tmp_path):
         docs(*rows)
         q = logs.keep_frequencies(spark.readStream.schema("id int, t string").json(src), "id", "t", out, cp)
         q.awaitTermination(60)
-    assert {r["term"]: r["df"] for r in spark.read.parquet(out).collect()} == {"alpha": 1, "beta": 3, "gamma": 1}
+    now = lambda: {r["term"]: r["df"] for r in logs.frequencies(spark, out).collect()}
+    assert now() == {"alpha": 1, "beta": 3, "gamma": 1}
+    logs.compact(spark, out)
+    assert now() == {"alpha": 1, "beta": 3, "gamma": 1} and stores.versions(spark, f"{out}/batches") == [1]
+
+
+def test_stream_batch_run_again(spark, tmp_path):
+    """The first batch runs twice: its checkpoint is lost before it is noted as done."""
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    spark.createDataFrame([(1, "alpha beta")], "id int, t string").coalesce(1).write.json(src)
+    for _ in range(2):
+        logs.keep_frequencies(spark.readStream.schema("id int, t string").json(src), "id", "t", out, cp).awaitTermination(60)
+        for f in (tmp_path / "cp" / "commits").glob("*0*"):
+            f.unlink()
+    assert {r["term"]: r["df"] for r in logs.frequencies(spark, out).collect()} == {"alpha": 1, "beta": 1}
+    assert logs.frequencies(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_profile_checkpoint(spark, tmp_path):
