@@ -14,11 +14,11 @@ from pyspark.sql import SparkSession
 # Quote characters by dialect, words that open a statement, capitalised words that are no values.
 QUOTES = {"sqlite": "`", "mysql": "`", "spark": "`", "postgres": '"', "oracle": '"'}
 OPENERS = ("WITH", "SELECT", "INSERT", "UPDATE", "DELETE")
-# Quoted values, numbers outside dates, dates, and capitalised phrases of a question.
+# The patterns of quoted values, numbers outside dates, dates, and capitalised phrases of a question.
 QUOTED = r"""["']([^"']+)["']"""
 NUMBER = r"(?<!\d)(?<![/-])\b(\d+\.?\d*)\b(?![/-])"
 DATES = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{2}/\d{2}/\d{4}\b", r"\b\d{4}/\d{2}/\d{2}\b", r"\b\d{2}-\d{2}-\d{4}\b")
-CAPITALISED = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+CAPITALISED = r"\b([A-Z][a-z]{1,}(?:\s+[A-Z][a-z]{1,})*)\b"
 QUESTION_WORDS = ("Show", "List", "Find", "Get", "What", "Which", "Where", "How", "Why", "When", "Who", "Are", "Is", "The")
 
 
@@ -99,14 +99,18 @@ def json_object(text: str) -> str | None:
     return None
 
 
-def format_results(rows: list, columns: list[str]) -> str:
-    """A result as an answer: a scalar alone, else the first three rows and how many more."""
+# How a result reads as an answer.
+NO_ROWS, ONE_VALUE, HEAD, LINE, MORE = "No results found.", "Result: {}", "Found {} results:\n", "{}. {}\n", "... and {} more rows"
+
+
+def format_results(rows: list) -> str:
+    """A result (tuples or dictionaries) as an answer: a single value alone, else its first three rows, numbered, and how many more there are."""
     if not rows:
-        return "no rows"
-    if len(rows) == 1 and len(columns) == 1:
-        return str(rows[0][0])
-    lines = [", ".join(f"{c}: {v}" for c, v in zip(columns, r)) for r in rows[:3]]
-    return "\n".join([*lines, *([f"... {len(rows) - 3} more"] if len(rows) > 3 else [])])
+        return NO_ROWS
+    if len(rows) == len(rows[0]) == 1:
+        return ONE_VALUE.format(next(iter(rows[0].values() if isinstance(rows[0], dict) else rows[0])))
+    shown = [LINE.format(i, r if isinstance(r, dict) else tuple(r)) for i, r in enumerate(rows[:3], 1)]
+    return HEAD.format(len(rows)) + "".join(shown) + (MORE.format(len(rows) - 3) if len(rows) > 3 else "")
 
 
 def with_links(sql: str) -> str:

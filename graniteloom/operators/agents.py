@@ -48,7 +48,7 @@ def sql_tool(spark: SparkSession, candidates: Callable[[str], list[str]], lint=s
             return ToolResponse(False, error="no candidate is valid", metadata={"sql": sql})
         df = spark.sql(sql.rstrip(";"))
         rows = [tuple(r) for r in df.limit(limit).collect()]
-        return ToolResponse(True, sqltools.format_results(rows, df.columns), metadata={"sql": sql, "rows": len(rows)})
+        return ToolResponse(True, sqltools.format_results(rows), metadata={"sql": sql, "rows": len(rows)})
 
     return run
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 PATHS = ("complex_dual", "doc_only", "fact_only", "llm_only")
 POINTS = 3
 
+# Fixed value: the reasoning where an answer has none.
+NO_REASONING = "Unable to parse LLM response"
+
 # The labels of a lane router's answer and the closing phrases that are no reasoning.
 LANE = r"(?i)LANE\s*[:：]\s*(fast|slow)"
 CONFIDENCE = r"(?i)CONFIDENCE\s*[:：]\s*([0-9]*\.?[0-9]+)"
@@ -56,7 +59,7 @@ def lane(response: Column, default: str = "fast") -> Column:
     return F.struct(
         F.when(lane_ != "", lane_).otherwise(default).alias("lane"),
         F.when(conf != "", F.least(F.lit(1.0), F.greatest(F.lit(0.0), conf.cast("double")))).otherwise(0.5).alias("confidence"),
-        F.when(why != "", why).otherwise("not understood").alias("reasoning"),
+        F.when(why != "", why).otherwise(NO_REASONING).alias("reasoning"),
     )
 
 

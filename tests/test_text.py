@@ -70,7 +70,9 @@ def test_extraction():
     assert S.extract_sql("SQL: with x AS (SELECT 1) SELECT * FROM x; more") == "with x AS (SELECT 1) SELECT * FROM x;"
     assert S.clean_sql("```sql\nSELECT 1;\n```") == "SELECT 1"
     assert S.json_object('x {"a": "}"} y') == '{"a": "}"}' and S.json_object("none") is None
-    assert S.format_results([(1,), (2,), (3,), (4,)], ["n"]).endswith("... 1 more")
+    assert S.format_results([(1,), (2,), (3,), (4,)]) == "Found 4 results:\n1. (1,)\n2. (2,)\n3. (3,)\n... and 1 more rows"
+    assert S.format_results([]) == "No results found." and S.format_results([(7,)]) == S.format_results([{"n": 7}]) == "Result: 7"
+    assert S.format_results([{"n": 7}, {"n": 8}]) == "Found 2 results:\n1. {'n': 7}\n2. {'n': 8}\n"
 
 
 def test_lineage(spark):
