@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
-from pyspark.sql.pandas.types import to_arrow_type
 
+from graniteloom.runtime import latest, written
 
 
 def ranked(df: DataFrame, score: str = "score", key: str = "doc", by: tuple[str, ...] = ("query",)) -> DataFrame:
@@ -20,59 +21,64 @@ def ranked(df: DataFrame, score: str = "score", key: str = "doc", by: tuple[str,
     return df.withColumn("rank", F.row_number().over(W.Window.partitionBy(*by).orderBy(F.desc(score), key)))
 
 
-QUERY_BLOCK = 4096  # queries that a task holds at a time: 2 MB of 64 numbers each
-MOST_QUERIES = 100_000
+QUERY_BLOCK = 4096  # queries multiplied with a batch at a time
+QUERIES_A_SCAN = 65_536  # queries sent to all executors for one scan of the vectors: 32 MB of 64 numbers each; more take more scans
 
 
-def _dense_block(batches: Iterator[pa.RecordBatch], names: pa.Array, q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _rows_of(col: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, unit vectors) of the vectors of ``dim`` finite numbers that are not all 0."""
+    at = np.nonzero(pc.fill_null(pc.equal(pc.list_value_length(col), dim), False).to_numpy(zero_copy_only=False))[0]
+    m = col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)  # nulls become NaN
+    n = np.sqrt((m * m).sum(axis=1))
+    ok = np.isfinite(n) & (n > 0)
+    return at[ok], m[ok] / n[ok, None]
+
+
+def _dense(batches: Iterator[pa.RecordBatch], asked: Broadcast, dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """(doc, v) to (query, doc, score): of each batch the k best for each query, ties to the smaller doc."""
+    names, q = asked.value
     for batch in batches:
-        keep = [i for i, v in enumerate(batch.column(1)) if v.is_valid and len(v) == q.shape[1] and v.values.null_count == 0]
-        part = batch.take(pa.array(keep, pa.int64()))
-        part = part.take(pc.sort_indices(part.column(0)))
-        m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-        n = np.sqrt((m * m).sum(axis=1))
-        ok = np.isfinite(n) & (n > 0)
-        if not ok.any():
+        part = batch.take(pc.sort_indices(batch.column(0)))
+        at, m = _rows_of(part.column(1), dim)
+        if not len(at):
             continue
-        at = np.nonzero(ok)[0]
-        cos = np.round(q @ (m[at] / n[at, None]).T, 6)
         c = min(k, len(at))
-        edge = -np.partition(-cos, c - 1, axis=1)[:, c - 1]
-        rows, cols = [], []
-        for i in range(len(q)):
-            x = np.nonzero(cos[i] >= edge[i])[0]
-            x = x[np.argsort(-cos[i, x], kind="stable")[:c]]
-            rows.append(np.full(len(x), i))
-            cols.append(x)
-        r, x = np.concatenate(rows), np.concatenate(cols)
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(r)), part.column(0).take(pa.array(at[x])), pa.array(cos[r, x])], ["query", "doc", "score"])
-
-
-def dense_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10) -> DataFrame:
+        for a in range(0, len(q), QUERY_BLOCK):
+            cos = np.round(q[a : a + QUERY_BLOCK] @ m.T, 6)
+            edge = -np.partition(-cos, c - 1, axis=1)[:, c - 1]
+            rows, cols = [], []
+            for i in range(len(cos)):
+                x = np.nonzero(cos[i] >= edge[i])[0]
+                x = x[np.argsort(-cos[i, x], kind="stable")[:c]]
+                rows.append(np.full(len(x), i))
+                cols.append(x)
+            r, x = np.concatenate(rows), np.concatenate(cols)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(a + r)), part.column(0).take(pa.array(at[x])), pa.array(cos[r, x])], ["query", "doc", "score"])
+
+
+def dense_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
     """(query, doc, score, rank): exact cosine top k of a stated query set (query, vector), in blocks against all vectors.
 
-    A task holds one block of queries and multiplies its vectors with it; at most k rows of a query leave a batch. More than ``MOST_QUERIES`` queries
-    are an error, to be asked in parts. Vectors of another length than the first query's and null, zero, or infinite ones give no row, as queries too. Keys are unique.
+    The queries go to all executors, ``QUERIES_A_SCAN`` of them (by a hash) for one scan of the vectors; at most k rows of a query leave a batch.
+    Vectors that are not ``dim`` long, and null, zero or infinite ones, give no row, as queries too. Keys are unique.
     """
     spark = vectors.sparkSession
-    kinds = {"query": queries.schema["query"].dataType.simpleString(), "doc": vectors.schema[key].dataType.simpleString()}
-    asked = queries.where("query is not null and vector is not null").select("query", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: ask in parts")
-    dim = len(asked[0]["vector"]) if asked else 0
-    asked = [r for r in asked if len(r["vector"]) == dim and None not in r["vector"]]
-    q = np.array([r["vector"] for r in asked], np.float64).reshape(-1, max(1, dim))
-    n = np.sqrt((q * q).sum(axis=1))
-    ok = np.nonzero(np.isfinite(n) & (n > 0))[0]
-    names, q = pa.array([asked[i]["query"] for i in ok], to_arrow_type(queries.schema["query"].dataType)), q[ok] / n[ok, None]
-    v = vectors.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{vector}`").alias("v"))
-    out = spark.createDataFrame([], f"query {kinds['query']}, doc {kinds['doc']}, score double")
-    for a in range(0, len(names), QUERY_BLOCK):
-        block = partial(_dense_block, names=names[a : a + QUERY_BLOCK], q=q[a : a + QUERY_BLOCK], k=k)
-        found = v.mapInArrow(block, f"query {kinds['query']}, doc {kinds['doc']}, score double")
-        out = found if a == 0 else out.unionByName(found)
-    return ranked(out).where(F.col("rank") <= k)
+    kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {vectors.schema[key].dataType.simpleString()}, score double"
+    use = queries.where(F.col("query").isNotNull() & (F.size("vector") == dim)).select("query", "vector")
+    v = vectors.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{vector}`").alias("v")).where(F.col("doc").isNotNull())
+    scans = max(1, -(-use.count() // QUERIES_A_SCAN))
+    found = []
+    for i in range(scans):
+        asked = use.where(F.pmod(F.xxhash64("query"), F.lit(scans)) == i).toArrow() if scans > 1 else use.toArrow()
+        at, q = _rows_of(asked.column("vector").combine_chunks(), dim)
+        sent = spark.sparkContext.broadcast((asked.column("query").combine_chunks().take(pa.array(at)), q))
+        one = v.mapInArrow(partial(_dense, asked=sent, dim=dim, k=k), kinds)
+        if scans > 1:
+            # one block of queries is held at a time
+            one = written(ranked(one).where(F.col("rank") <= k), "found")
+            sent.destroy()
+        found.append(one)
+    return reduce(DataFrame.unionByName, found) if scans > 1 else ranked(found[0]).where(F.col("rank") <= k)
 
 
 def check_weights(dense: float, sparse: float) -> tuple[float, float]:
@@ -138,9 +144,15 @@ def rerank(candidates: DataFrame, scored: DataFrame | None, top_n: int) -> DataF
 
 
 def with_parents(candidates: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Candidates with parent_id, parent_text, source_file and page_number; one without child or parent keeps its own fields."""
-    c = children.select(F.col("child_id").alias("doc"), "parent_id").dropDuplicates(["doc"])
-    p = parents.select("parent_id", "parent_text", "source_file", "page_number").dropDuplicates(["parent_id"])
+    """Candidates with parent_id, parent_text, source_file and page_number; one without child or parent keeps its own fields.
+
+    Only the candidates' own children and parents are moved; of repeated rows that with the greatest updated_at (children: the greatest parent_id) counts.
+    """
+    c = children.select(F.col("child_id").alias("doc"), "parent_id").join(candidates.select("doc").distinct(), "doc", "left_semi")
+    c = c.groupBy("doc").agg(F.max("parent_id").alias("parent_id"))
+    newest = ["updated_at"] if "updated_at" in parents.columns else []
+    p = parents.select("parent_id", "parent_text", "source_file", "page_number", *newest).join(c.select("parent_id").distinct(), "parent_id", "left_semi")
+    p = latest(p, "parent_id", newest[0] if newest else None).drop(*newest)
     return candidates.join(c, "doc", "left").join(p, "parent_id", "left")
 
 
@@ -153,7 +165,7 @@ def parent_context(children: DataFrame, parents: DataFrame, child_id: str) -> Da
 def document_overview(parents: DataFrame, children: DataFrame) -> DataFrame:
     """(source_file, file_name, parents, children, first_created) for each source file."""
     c = children.select("child_id", "parent_id").distinct().groupBy("parent_id").agg(F.count("*").alias("n"))
-    p = parents.select("parent_id", "source_file", "file_name", "created_at").dropDuplicates(["parent_id"])
+    p = latest(parents.select("parent_id", "source_file", "file_name", "created_at"), "parent_id", "created_at")
     return p.join(c, "parent_id", "left").groupBy("source_file", "file_name").agg(F.count("*").alias("parents"), F.coalesce(F.sum("n"), F.lit(0)).alias("children"), F.min("created_at").alias("first_created"))
 
 

@@ -18,6 +18,6 @@ def build_index(metadata: DataFrame, provider: Embedder, description: str = "des
 def search(index: DataFrame, questions: DataFrame, provider: Embedder, k: int = 10, threshold: float | None = None) -> DataFrame:
     """(query, table_name, column_name, score, rank) of questions (query, question); blank questions find nothing."""
     q = questions.where(F.trim(F.coalesce("question", F.lit(""))) != "").select("query", embed(F.col("question"), provider).alias("vector"))
-    r = dense_search(index, "field", "embedding", q, k)
+    r = dense_search(index, "field", "embedding", q, k, provider.dim)
     r = r if threshold is None else r.where(F.col("score") >= threshold)
     return r.join(index.select(F.col("field").alias("doc"), "table_name", "column_name"), "doc").select("query", "table_name", "column_name", "score", "rank")

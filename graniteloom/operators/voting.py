@@ -108,7 +108,7 @@ def add_examples(store: DataFrame | None, new: DataFrame) -> DataFrame:
     return n if store is None else store.unionByName(n.join(store.select("digest"), "digest", "left_anti").select(*store.columns))
 
 
-def retrieve_examples(store: DataFrame, query: DataFrame, db_id: str | None = None, k: int = 5, threshold: float = 0.4) -> DataFrame:
+def retrieve_examples(store: DataFrame, query: DataFrame, db_id: str | None = None, k: int = 5, threshold: float = 0.4, dim: int = 64) -> DataFrame:
     """(query, digest, score, rank): the examples most similar to each query vector (query, vector).
 
     The first max(3 k, 50) by cosine are found before the filter on database and threshold, as a bounded index search would.
@@ -116,7 +116,7 @@ def retrieve_examples(store: DataFrame, query: DataFrame, db_id: str | None = No
     from graniteloom.operators.retrieval import dense_search, overfetch_filter
 
     pool = max(3 * k, 50)
-    m = dense_search(store, "digest", "embedding", query, pool).join(store.select(F.col("digest").alias("doc"), "db_id"), "doc")
+    m = dense_search(store, "digest", "embedding", query, pool, dim).join(store.select(F.col("digest").alias("doc"), "db_id"), "doc")
     keep = F.col("score") >= threshold
     if db_id is not None:
         keep = keep & (F.col("db_id") == db_id)

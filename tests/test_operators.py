@@ -1,6 +1,7 @@
 """Chunking, fusion, citations, safety, routing, voting, agents: literal expectations."""
 
 import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
 from graniteloom.operators import agents, answers, bm25, chunking, linking, retrieval, routing, voting
@@ -130,7 +131,7 @@ def test_safety(spark):
 
 
 def test_lane(spark):
-    rows = [("LANE: fast\nCONFIDENCE: 0.9\nREASONING: simple", ("fast", 0.9, "simple")), ("```\nlane： SLOW confidence： 1.7\n```", ("slow", 1.0, "not understood")), ("LANE: maybe", ("fast", 0.5, "not understood")), ("LANE: slow\nCONFIDENCE: 0.87\nREASONING: one\ntwo Hope this helps!", ("slow", 0.87, "one two"))]
+    rows = [("LANE: fast\nCONFIDENCE: 0.9\nREASONING: simple", ("fast", 0.9, "simple")), ("```\nlane： SLOW confidence： 1.7\n```", ("slow", 1.0, "Unable to parse LLM response")), ("LANE: maybe", ("fast", 0.5, "Unable to parse LLM response")), ("LANE: slow\nCONFIDENCE: 0.87\nREASONING: one\ntwo Hope this helps!", ("slow", 0.87, "one two"))]
     got = frame(spark, [(t,) for t, _ in rows], "t string").select(routing.lane(F.col("t")).alias("r")).collect()
     assert [tuple(r["r"]) for r in got] == [w for _, w in rows]
 
@@ -184,7 +185,7 @@ def test_examples(spark):
     store = voting.add_examples(None, frame(spark, rows, "db_id string, question string, masked string, sql string, embedding array<float>"))
     assert store.count() == 3 and voting.add_examples(store, frame(spark, rows, store.drop("digest").schema)).count() == 3
     q = frame(spark, [(1, [float(x) for x in e.encode(["question 0"])[0]])], "query int, vector array<float>")
-    assert voting.retrieve_examples(store, q, "db", 2).first()["score"] == 1.0 and voting.retrieve_examples(store, q, "other").count() == 0
+    assert voting.retrieve_examples(store, q, "db", 2, dim=16).first()["score"] == 1.0 and voting.retrieve_examples(store, q, "other", dim=16).count() == 0
 
 
 # agents and providers
@@ -226,3 +227,25 @@ def test_embedding(spark):
     assert safe_batches(["a b", "c", "d e f"], 3) == [["a b", "c"], ["d e f"]] and valid_text("a b c", 2) == "a b"
     with pytest.raises(ValueError):
         valid_text(" ")
+
+
+def test_dense_search(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = {i: rng.standard_normal(2).tolist() for i in range(40)} | {40: [1.0], 41: [0.0, 0.0], 42: None, 43: [float("nan"), 1.0], 44: [None, 1.0]}
+    vectors = spark.createDataFrame(list(v.items()), "id int, v array<double>").repartition(3)
+    # a first query of another length takes no part and decides nothing
+    queries = spark.createDataFrame([(0, [1.0]), *[(i, v[i]) for i in range(1, 9)], (None, [1.0, 0.0])], "query int, vector array<double>")
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in v.items() if i < 40}
+    want = {q: sorted(unit, key=lambda i: (-round(float(unit[q] @ unit[i]), 6), i))[:5] for q in range(1, 9)}
+    for most in (65_536, 3):
+        monkeypatch.setattr(retrieval, "QUERIES_A_SCAN", most)
+        got = retrieval.dense_search(vectors, "id", "v", queries, 5, 2).collect()
+        assert {q: [r["doc"] for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == q] for q in {r["query"] for r in got}} == want
+    assert retrieval.dense_search(vectors.limit(0), "id", "v", queries, 5, 2).count() == 0 == retrieval.dense_search(vectors, "id", "v", queries.limit(0), 5, 2).count()
+
+
+def test_parents_of_candidates(spark):
+    c = frame(spark, [("c1", "p1"), ("c1", "p1"), ("c2", "p9"), ("c3", "p1")], "child_id string, parent_id string")
+    p = frame(spark, [("p1", "old", "f", 1, 1), ("p1", "new", "f", 1, 2), ("p2", "x", "f", 1, 1)], "parent_id string, parent_text string, source_file string, page_number int, updated_at int")
+    got = retrieval.with_parents(frame(spark, [(1, "c1"), (1, "c2"), (2, "c1"), (2, "c8")], "query int, doc string"), c, p).collect()
+    assert sorted((r["query"], r["doc"], r["parent_id"] or "", r["parent_text"] or "") for r in got) == [(1, "c1", "p1", "new"), (1, "c2", "p9", ""), (2, "c1", "p1", "new"), (2, "c8", "", "")]
