@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,10 +117,15 @@ def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, where a lambda would compute it anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Of an array of doubles, shifted by its maximum."""
-    e = F.transform(scores, lambda x: F.exp(x - F.array_max(scores)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+    e = once(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return once(e, lambda v: once(F.aggregate(v, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -132,7 +139,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """An array scaled to length 1; null for the zero vector."""
-    return F.transform(a, lambda x: F.try_divide(x.cast("double"), norm(a)))
+    return once(norm(a), lambda n: F.transform(a, lambda x: F.try_divide(x.cast("double"), n)))
 
 
 def cosine(a: Column, b: Column, digits: int = 6) -> Column:

@@ -59,34 +59,55 @@ def text_parents(docs: DataFrame, key: str, text: str, sizes: TextSizes = TextSi
     split. Null and blank texts give nothing.
     """
     u = docs.select(F.col(f"`{key}`").cast("string").alias("source"), _units(F.col(f"`{text}`"), separator, sizes.parent, size).alias("u")).where(F.size("u") > 0)
-    start = F.struct(F.lit(1).alias("part"), F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(-1).alias("para"), F.lit(False).alias("big"), F.array().cast("array<int>").alias("parts"))
-
-    def step(a: Column, x: Column) -> Column:
-        over = a["n"] + x["n"] > sizes.parent
-        same = a["para"] == x["para"]
-        new = (a["k"] > 0) & F.when(a["big"] & x["big"] & same, over).when(a["big"] | x["big"], F.lit(True)).otherwise(over)
-        part = a["part"] + new.cast("int")
-        return F.struct(part.alias("part"), (F.when(new, F.lit(0)).otherwise(a["n"]) + x["n"]).alias("n"), (F.when(new, F.lit(0)).otherwise(a["k"]) + 1).alias("k"), x["para"].alias("para"), x["big"].alias("big"), F.concat(a["parts"], F.array(part)).alias("parts"))
-
-    u = u.withColumn("parts", F.aggregate("u", start, step)["parts"])
-    u = u.select("source", F.array_max("parts").alias("total_parts"), F.posexplode(F.arrays_zip("u", "parts")).alias("i", "z"))
-    pos = F.struct("i", F.col("z.u.text").alias("text"))
-    g = u.groupBy("source", "total_parts", F.col("z.parts").alias("part")).agg(F.sort_array(F.collect_list(pos)).alias("x"), F.bool_or("z.u.big").alias("big"))
-    body = F.when(F.col("big"), F.array_join(F.transform("x", lambda y: y["text"]), " ")).otherwise(F.array_join(F.transform("x", lambda y: y["text"]), separator))
+    u = u.select("source", "u.para", "u.big", "u.text", "u.n")
+    g = u.mapInArrow(partial(_packed, limit=sizes.parent, separator=separator), "source string, part int, total_parts int, big boolean, text string")
     split = F.col("big") | (F.col("total_parts") > 1)
     name = F.when(split, F.concat("source", F.lit("_text_part"), F.col("part").cast("string"))).otherwise(F.concat("source", F.lit("_text")))
-    g = g.select("source", name.alias("parent_id"), "part", "total_parts", split.alias("is_split"), body.alias("text"))
+    g = g.select("source", name.alias("parent_id"), "part", "total_parts", split.alias("is_split"), "text")
     return g.withColumn("token_count", size(F.col("text")))
 
 
+def packed(units: list[tuple[int, bool, str, int]], limit: int) -> list[list[tuple[int, bool, str, int]]]:
+    """Units (paragraph, oversized, text, size) in order, packed greedily; those of an oversized paragraph stay among themselves."""
+    parts: list[list] = []
+    used = 0
+    for unit in units:
+        last = parts[-1][-1] if parts else None
+        alone = last is not None and (last[1] or unit[1]) and not (last[1] and unit[1] and last[0] == unit[0])
+        if last is None or alone or used + unit[3] > limit:
+            parts.append([])
+            used = 0
+        parts[-1].append(unit)
+        used += unit[3]
+    return parts
+
+
+def _packed(batches: Iterator[pa.RecordBatch], limit: int, separator: str) -> Iterator[pa.RecordBatch]:
+    """(source, para, big, text, n) of whole documents to their parents; a document's pieces are packed where it stands."""
+    kinds = pa.schema([("source", pa.string()), ("part", pa.int32()), ("total_parts", pa.int32()), ("big", pa.bool_()), ("text", pa.string())])
+    for batch in batches:
+        out = []
+        for source, *units in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = packed(list(zip(*units)), limit)
+            for i, p in enumerate(parts, 1):
+                big = any(x[1] for x in p)
+                out.append((source, i, len(parts), big, (" " if big else separator).join(x[2] for x in p)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)], schema=kinds)
+
+
 def text_children(parents: DataFrame, sizes: TextSizes = TextSizes()) -> DataFrame:
     """(parent_id, child_id, chunk_index, token_count, text): windows of words with overlap, up to the one that reaches the end."""
     w = parents.select("parent_id", T.words(F.col("text")).alias("w")).where(F.size("w") > 0)
     stride, n = sizes.child - sizes.overlap, F.size("w")
     count = F.when(n <= sizes.child, F.lit(1)).otherwise(F.ceil((n - sizes.child) / F.lit(stride)).cast("int") + 1)
-    w = w.select("parent_id", "w", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * stride + 1, F.lit(sizes.child))
-    return w.select("parent_id", F.concat("parent_id", F.lit("_child_"), F.col("chunk_index").cast("string")).alias("child_id"), "chunk_index", F.size(part).alias("token_count"), F.array_join(part, " ").alias("text"))
+    w = w.select("parent_id", F.explode(_slices(F.col("w"), count, stride, sizes.child)).alias("x"))
+    return w.select("parent_id", F.concat("parent_id", F.lit("_child_"), F.col("x.i").cast("string")).alias("child_id"), F.col("x.i").alias("chunk_index"), F.size("x.w").alias("token_count"), F.array_join("x.w", " ").alias("text"))
+
+
+def _slices(words: Column, count: Column, stride: int, length: int) -> Column:
+    """The windows of an array as (i, w): each carries its own words only."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("i"), F.slice(words, i * stride + 1, F.lit(length)).alias("w")))
 
 
 def broken_table(text: Column, size: Callable[[Column], Column] = T.word_count) -> Column:
@@ -99,11 +120,11 @@ def broken_table(text: Column, size: Callable[[Column], Column] = T.word_count)
 def broken_parts(tables: DataFrame, key: str, text: str, sizes: TableSizes = TableSizes()) -> tuple[DataFrame, DataFrame]:
     """(parents, children) of broken tables: plain slices of words without overlap."""
     w = tables.select(F.col(f"`{key}`").cast("string").alias("source"), T.words(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
-    w = w.select("source", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / F.lit(sizes.broken_parent)).cast("int"))).alias("part"))
-    p = w.select("source", F.concat("source", F.lit("_corrupted_part"), F.col("part").cast("string")).alias("parent_id"), F.slice("w", F.col("part") * sizes.broken_parent + 1, F.lit(sizes.broken_parent)).alias("w"))
-    c = p.select("parent_id", "w", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / F.lit(sizes.broken_child)).cast("int"))).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * sizes.broken_child + 1, F.lit(sizes.broken_child))
-    c = c.select("parent_id", F.concat("parent_id", F.lit("_child_"), F.col("chunk_index").cast("string")).alias("child_id"), "chunk_index", F.size(part).alias("token_count"), F.array_join(part, " ").alias("text"))
+    pieces = lambda n: _slices(F.col("w"), F.ceil(F.size("w") / F.lit(n)).cast("int"), n, n)
+    w = w.select("source", F.explode(pieces(sizes.broken_parent)).alias("x"))
+    p = w.select("source", F.concat("source", F.lit("_corrupted_part"), F.col("x.i").cast("string")).alias("parent_id"), F.col("x.w").alias("w"))
+    c = p.select("parent_id", F.explode(pieces(sizes.broken_child)).alias("x"))
+    c = c.select("parent_id", F.concat("parent_id", F.lit("_child_"), F.col("x.i").cast("string")).alias("child_id"), F.col("x.i").alias("chunk_index"), F.size("x.w").alias("token_count"), F.array_join("x.w", " ").alias("text"))
     return p.select("source", "parent_id", F.size("w").alias("token_count"), F.array_join("w", " ").alias("text")), c
 
 
