@@ -53,9 +53,21 @@ def f22_table_parents(spark, d):
 
 
 def f23_table_children(spark, d):
-    """Row groups of tables (rows only: grouping is greedy)."""
+    """Row groups of tables, with the numbers of their rows."""
     t = _parents_once(spark, d).where("parent_type = 'table'")
-    return chunking.table_children(t, "parent_id", "parent_text", chunking.TableSizes(parent=120, child=60))
+    c = chunking.table_children(t, "parent_id", "parent_text", chunking.TableSizes(parent=120, child=60))
+    return c.select("parent_id", "child_id", "chunk_index", F.array_join(F.col("row_indices").cast("array<string>"), ",").alias("row_numbers"), "token_count", F.md5("text").alias("digest"))
+
+
+def f8_cosine(spark, d):
+    """Each usable vector against its own reverse."""
+    v = table(spark, d, "embedding_results").where((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    return v.select("vec_id", T.cosine(F.col("embedding"), F.reverse("embedding")).alias("cosine"))
+
+
+def x7_variants(spark, d):
+    """Every document taken for a rewritten query: its first line without label and quotes."""
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(T.first_line_variant(F.col("text"))).alias("digest"))
 
 
 def f26_token_counts(spark, d):
@@ -131,6 +143,31 @@ def f14_longest_line(spark, d):
 
 _PAR = "list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '')"
 _WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+_W = "\\pL\\pM\\p{Nd}\\p{Pc}"
+_NUM = f"(^|[^{_W}])\\p{{Nd}}+(?:\\.\\p{{Nd}}+)?([^{_W}]|$)"
+
+
+def masked_sql(c: str) -> str:
+    """The masked form of a text column. A number's neighbours are consumed here: separators get a mark beside them to be consumed, numbers one full stop apart need a second pass."""
+    mark = "\ue000"
+    for p, r in ((f"([^{_W}.])", "\\1" + mark), (_NUM, "\\1[VALUE]\\2"), (_NUM, "\\1[VALUE]\\2"), (mark, ""), ("''[^'']*''", "[VALUE]"), ('"[^"]*"', "[VALUE]")):
+        c = f"regexp_replace({c}, '{p}', '{r}', 'g')"
+    return c
+
+
+_SENT = "list_filter(list_transform(string_split(regexp_replace(p, '([.!?])\\s+([A-Z가-힣])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+_UNIT = "{'para': i, 'big': %s, 'used': len(" + "list_filter(regexp_split_to_array(%s, '\\s+'), lambda w: w <> '')" + "), 'parts': 1, 'most': len(" + "list_filter(regexp_split_to_array(%s, '\\s+'), lambda w: w <> '')" + ")}"
+# Greedy packing of markdown tables, row by row: parents of at most 120 words, children of 60 with three to seven rows.
+_TABLES = f"""RECURSIVE l AS (SELECT parent_id AS source, list_filter(list_transform(string_split(parent_text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l,
+               len(list_filter(regexp_split_to_array(parent_text, '\\s+'), lambda w: w <> '')) AS words FROM (SELECT DISTINCT ON (parent_id) * FROM parents) JOIN broken USING (parent_id) WHERE parent_type = 'table' AND NOT broken),
+        h AS (SELECT source, words > 120 AS split, l[1] AS header, regexp_full_match(l[2], '[-|: ]+') AS has, l FROM l WHERE len(l) >= 2),
+        p AS (SELECT source, split, header, CASE WHEN has THEN l[2] ELSE '|' || repeat('---|', greatest(1, len(header) - len(replace(header, '|', '')) - 1)) END AS sep, CASE WHEN has THEN l[3:] ELSE l[2:] END AS body FROM h),
+        q AS (SELECT *, len(regexp_extract_all(header, '\\S+')) + len(regexp_extract_all(sep, '\\S+')) AS lead FROM p),
+        r AS (SELECT source, split, header, sep, lead, unnest(body) AS line, generate_subscripts(body, 1) - 1 AS i FROM q),
+        n AS (SELECT *, len(regexp_extract_all(line, '\\S+')) AS n FROM r),
+        g AS (SELECT source, i, 1 AS part, lead + n AS pu, 0 AS child, lead + n AS cu, 1 AS k FROM n WHERE i = 0
+              UNION ALL SELECT source, n.i, CASE WHEN np THEN part + 1 ELSE part END, CASE WHEN np THEN lead + n ELSE pu + n END, CASE WHEN np THEN 0 WHEN nc THEN child + 1 ELSE child END, CASE WHEN np OR nc THEN lead + n ELSE cu + n END, CASE WHEN np OR nc THEN 1 ELSE k + 1 END
+              FROM (SELECT g.source, n.i, part, pu, child, cu, k, lead, n, split AND pu + n > 120 AS np, cu > 3500 OR k >= 7 OR (cu + n > 60 AND k >= 3) AS nc FROM g JOIN n ON n.source = g.source AND n.i = g.i + 1) AS n)"""
 _PONCE = "(SELECT DISTINCT ON (parent_id) * FROM parents)"
 _CONCE = "(SELECT DISTINCT ON (child_id) * FROM children)"
 _SRC = f"""src AS (SELECT source_file AS query, concat_ws('#', c.parent_id, lpad(CAST(chunk_index AS VARCHAR), 4, '0'), child_id) AS seq, c.parent_id AS sid, source_file, page_number FROM {_CONCE} c JOIN {_PONCE} p ON c.parent_id = p.parent_id),
@@ -139,6 +176,25 @@ _SRC = f"""src AS (SELECT source_file AS query, concat_ws('#', c.parent_id, lpad
 
 ORACLES = {
     "f16_paragraphs": f"SELECT doc_id, CAST(coalesce(len({_PAR}), 0) AS INT) AS paragraphs, md5(coalesce(array_to_string({_PAR}, '|'), '')) AS digest FROM documents",
+    "f13_masked": f"SELECT doc_id, md5({masked_sql('text')}) AS digest FROM documents",
+    "f14_longest_line": """
+        WITH c AS (SELECT doc_id, list_filter(list_transform(string_split(trim(replace(regexp_replace(text, '(?i)^(Masked Question:|Answer:|Output:)[ \\t\\n\\x0b\\f\\r]*', ''), '```', ''), ' '), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, md5(coalesce(list_filter(l, lambda x: length(x) = list_max(list_transform(l, lambda y: length(y))))[1], '')) AS digest FROM c""",
+    "f8_cosine": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 6) AS cosine FROM embedding_results
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
+    "x7_variants": """
+        WITH c AS (SELECT doc_id, string_split(trim(regexp_replace(trim(text, ' '), '(?i)^\\s*(?:\\d+[.)]\\s*|[-*•]\\s*|(?:query|variant|question|질문)\\s*\\d*\\s*[:：]\\s*)', ''), ' '), chr(10))[1] AS l FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, md5(trim(regexp_replace(trim(l, ' '), '^["''“”]+|["''“”]+$', '', 'g'), ' ')) AS digest FROM c""",
+    "f19_text_parents": f"""
+        WITH p AS (SELECT doc_id, {_PAR} AS ps FROM documents),
+        u AS (SELECT doc_id, flatten(list_transform(ps, lambda p, i: CASE WHEN len({_WORDS("p")}) > 100 THEN list_transform({_SENT}, lambda s: {_UNIT % ("true", "s", "s")}) ELSE [{_UNIT % ("false", "p", "p")}] END)) AS u FROM p),
+        g AS (SELECT doc_id, u, list_reduce(u, lambda a, x: CASE WHEN (a.big AND x.big AND a.para = x.para AND a.used + x.used <= 100) OR (NOT a.big AND NOT x.big AND a.used + x.used <= 100)
+                 THEN {{'para': x.para, 'big': x.big, 'used': a.used + x.used, 'parts': a.parts, 'most': greatest(a.most, a.used + x.used)}} ELSE {{'para': x.para, 'big': x.big, 'used': x.used, 'parts': a.parts + 1, 'most': greatest(a.most, x.used)}} END) AS g FROM u WHERE len(u) > 0)
+        SELECT CAST(doc_id AS VARCHAR) AS source, CAST(g.parts AS BIGINT) AS parents, CAST(g.most AS INT) AS largest, CAST(list_sum(list_transform(u, lambda x: x.used)) AS BIGINT) AS words FROM g""",
+    "f22_table_parents": f"WITH {_TABLES}, e AS (SELECT source FROM q WHERE NOT split AND len(body) = 0) SELECT source, CAST(max(part) AS BIGINT) AS parents, count(*) AS rows FROM g GROUP BY source UNION ALL SELECT source, 1, 0 FROM e",
+    "f23_table_children": f"""WITH {_TABLES}, c AS (SELECT source, part, child, any_value(split) AS split, string_agg(i, ',' ORDER BY i) AS row_numbers, any_value(header) || chr(10) || any_value(sep) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS t FROM g JOIN n USING (source, i) GROUP BY ALL),
+        d AS (SELECT *, source || '_table' || CASE WHEN split THEN '_part' || part ELSE '' END AS parent_id FROM c)
+        SELECT parent_id, parent_id || '_child_' || child AS child_id, CAST(child AS INT) AS chunk_index, row_numbers, CAST(len(regexp_extract_all(t, '\\S+')) AS INT) AS token_count, md5(t) AS digest FROM d""",
     "f20_text_children": f"""
         WITH w AS (SELECT parent_id, {_WORDS("parent_text")} AS w FROM {_PONCE}),
         k AS (SELECT parent_id, w, unnest(range(CAST(CASE WHEN len(w) <= 400 THEN 1 ELSE ceil((len(w) - 400) / 350) + 1 END AS BIGINT))) AS i FROM w WHERE len(w) > 0)
@@ -181,7 +237,10 @@ ORACLES = {
     "x22_answers": f"SELECT parent_id AS query, md5(string_agg(coalesce(child_text, ''), '' ORDER BY chunk_index, child_id)) AS digest FROM {_CONCE} GROUP BY parent_id",
 }
 
+for _q in ("f22_table_parents", "f23_table_children"):
+    ORACLES[_q] = ORACLES[_q].replace("RECURSIVE l AS", f"RECURSIVE broken AS ({ORACLES['broken_tables']}), l AS", 1)
+
 QUERIES = {
     f.__name__: f
-    for f in (f16_paragraphs, f19_text_parents, f20_text_children, broken_tables, f25_broken_parts, f22_table_parents, f23_table_children, f26_token_counts, s17_full_text, w2_citation_numbers, f32_citation_lists, f33_cited, f34_safety, f35_contexts, f36_evidence, f45_softmax, x22_answers, f13_masked, f14_longest_line)
+    for f in (f8_cosine, x7_variants, f16_paragraphs, f19_text_parents, f20_text_children, broken_tables, f25_broken_parts, f22_table_parents, f23_table_children, f26_token_counts, s17_full_text, w2_citation_numbers, f32_citation_lists, f33_cited, f34_safety, f35_contexts, f36_evidence, f45_softmax, x22_answers, f13_masked, f14_longest_line)
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graniteloom.operators import voting
 from graniteloom.plans.base import typed
+from graniteloom.plans.documents import masked_sql
 from graniteloom.runtime import table
 from graniteloom.sources.catalog import Database
 from graniteloom.sources import parsing, stores
@@ -18,9 +19,11 @@ AS_OF = "2015-01-08"
 LIKE = "%machine%"
 
 
+NAMES = ("eqp_mode_gen_hist", "cim_eqp_mst", "orders", "customer", "nation", "region", "lineitem")
+
+
 def _db(spark, d) -> Database:
-    names = ("eqp_mode_gen_hist", "cim_eqp_mst", "orders", "customer", "nation", "region", "lineitem")
-    return Database(spark, {n: table(spark, d, n) for n in names}, {"cim_eqp_mst": ("eqp_id",), "orders": ("o_orderkey",)}, {("orders", "o_custkey"): "customer.c_custkey"})
+    return Database(spark, {n: table(spark, d, n) for n in NAMES}, {"cim_eqp_mst": ("eqp_id",), "orders": ("o_orderkey",)}, {("orders", "o_custkey"): "customer.c_custkey"})
 
 
 _TWO_WEEKS = """
@@ -87,7 +90,7 @@ def s3_describe(spark, d):
     """Columns and row counts of the catalog."""
     db = _db(spark, d)
     rows = [(t.name, i, c.name, c.primary_key, c.foreign_key, t.row_count) for n in db.table_names() for t in [db.describe(n)] for i, c in enumerate(t.columns)]
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string, primary_key boolean, foreign_key string, row_count bigint")
+    return spark.createDataFrame(rows, "table_name string, position bigint, column_name string, primary_key boolean, foreign_key string, row_count bigint")
 
 
 def s6_parameters(spark, d):
@@ -193,6 +196,10 @@ _WEEK = lambda a, b: f"SELECT h.eqp_id, count(*) FILTER (h.status = 'RUN') AS r,
 _D = "TRY_CAST(try_strptime(substr(create_time, 1, 8), '%Y%m%d') AS DATE)"
 
 ORACLES = {
+    "t7_examples": f"SELECT DISTINCT {masked_sql('cim_eqp_desc')} AS masked FROM cim_eqp_mst WHERE cim_eqp_desc IS NOT NULL",
+    "s3_describe": "WITH n AS (" + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in NAMES) + """)
+        SELECT table_name, CAST(column_index - 1 AS BIGINT) AS position, column_name, (table_name, column_name) IN (('cim_eqp_mst', 'eqp_id'), ('orders', 'o_orderkey')) AS primary_key,
+               CASE WHEN (table_name, column_name) = ('orders', 'o_custkey') THEN 'customer.c_custkey' END AS foreign_key, row_count FROM duckdb_columns() JOIN n USING (table_name)""",
     "sql_two_weeks": f"""WITH l AS ({_WEEK(_DAY(_MON + " - INTERVAL 7 DAY"), _DAY(_MON))}), t AS ({_WEEK(_DAY(_MON), _DAY(_MON + " + INTERVAL 7 DAY"))})
         SELECT m.cim_eqp_desc, l.eqp_id, round(t.r / t.n * 100, 2) AS this_week_rate, round(l.r / l.n * 100, 2) AS last_week_rate FROM l JOIN t ON l.eqp_id = t.eqp_id JOIN cim_eqp_mst m ON l.eqp_id = m.eqp_id WHERE round(t.r / t.n * 100, 2) < round(l.r / l.n * 100, 2)""",
     "sql_week_pivot": f"""WITH e AS (SELECT eqp_id, cim_eqp_desc FROM cim_eqp_mst WHERE cim_eqp_desc LIKE '{LIKE}' AND use_yn = 'Y'), h AS (SELECT eqp_id, status, {_D} AS d FROM eqp_mode_gen_hist),

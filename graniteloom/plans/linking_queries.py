@@ -156,7 +156,11 @@ def _variant(v: str) -> str:
               FROM (SELECT f.*, {about} AS about FROM ({src}) f LEFT JOIN md USING (table_name, column_name)) GROUP BY table_name)"""
 
 
+_RULE = {p: "regexp_matches(text, '" + r.replace("(?iu)", "(?i)") + "')" for p, r in routing.RULES.items()}
+
 ORACLES = {
+    "k9_routes": f"""WITH r AS (SELECT text IS NULL AS none, {_RULE["fact_only"]} AS f, {_RULE["doc_only"]} AS d, {_RULE["llm_only"]} AS l FROM documents)
+        SELECT CASE WHEN none OR (f AND d) OR NOT (f OR d OR l) THEN 'complex_dual' WHEN d THEN 'doc_only' WHEN f THEN 'fact_only' ELSE 'llm_only' END AS path, count(*) AS questions FROM r GROUP BY 1""",
     "o6_focused_fields": f"WITH {_M} SELECT * FROM o",
     "j5_intersection": f"WITH {_M} SELECT * FROM m WHERE selected_by = 'both'",
     "t1_single_sided": f"""WITH {_M} SELECT table_name, column_name, semantic_score, NULL AS lexical_score, 'semantic' AS selected_by, 'semantic_only' AS strategy FROM sm

@@ -137,13 +137,26 @@ _F = f"""j AS (SELECT query, doc, CASE WHEN trim(coalesce(d.text, '')) <> '' THE
               round(coalesce(0.7 / (60 + d.rank), 0) + coalesce(0.3 / (60 + s.rank), 0), 9) AS rrf_score FROM {_D} d FULL JOIN {_P} s USING (query, doc)),
         f AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, doc) AS rank FROM j WHERE trim(coalesce(text, '')) <> '')"""
 
+
+
+def _same(others: dict[str, str]) -> str:
+    """Whether each result equals that of ``a``: no row of one is left when the other's are taken away."""
+    left = lambda x, y, op: f"NOT EXISTS ((SELECT * FROM ({x})) {op} (SELECT * FROM ({y})))"
+    both = lambda y, op: f"{left('SELECT * FROM a', y, op)} AND {left(y, 'SELECT * FROM a', op)}"
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS pair, {both(y, 'EXCEPT')} AS sets, {both(y, 'EXCEPT ALL')} AS bags" for n, y in others.items())
+    return f"WITH a AS (SELECT o_orderstatus, round(o_totalprice, 2) AS p FROM orders) {rows}"
+
+
 ORACLES = {
     "f29_fusion": f"WITH {_F} SELECT * FROM f",
     "x10_result_rows": f"WITH {_F} SELECT query, doc, text, dense_score, sparse_score, rrf_score, rank FROM f",
     "f31_rerank_fallback": f"WITH {_F} SELECT query, doc, rank, CASE WHEN rank <= 2 THEN round(1 - 0.1 * (rank - 1), 6) END AS rerank_score, rank AS final_rank FROM f",
     "pred5_with_text": f"SELECT query, doc, text, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM {_D} WHERE trim(text) <> ''",
     "pred8_overfetch": f"SELECT query, doc, text, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM {_P} WHERE doc <> 'd3' QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 2",
-    "f38_lanes": "SELECT * FROM (VALUES (0, 'fast', 0.9, 'simple'), (1, 'slow', 0.85, 'not understood'), (2, 'fast', 0.95, 'not understood'), (3, 'fast', 0.7, 'not understood'), (4, 'fast', 0.88, 'not understood'), (5, 'slow', 0.92, 'not understood'), (6, 'fast', 0.5, 'not understood'), (7, 'fast', 0.8, 'not understood'), (8, 'slow', 1.0, 'one two')) AS t(i, lane, confidence, reasoning)",
+    "f38_lanes": rf"""WITH c AS (SELECT i, regexp_replace(t, '(?i)```[a-z]*\s*|\s*```', '', 'g') AS c FROM {_values(list(enumerate(LANES)), 't', 'i, t')}),
+        x AS (SELECT i, lower(regexp_extract(c, '{routing.LANE}', 1)) AS lane, regexp_extract(c, '{routing.CONFIDENCE}', 1) AS n, trim(regexp_replace(trim(regexp_extract(c, '{routing.REASONING}', 1), ' '), '[\n\r]+', ' ', 'g'), ' ') AS why FROM c),
+        y AS (SELECT *, trim(regexp_replace(why, '{routing.CLOSING}', ''), ' ') AS reason FROM x)
+        SELECT i, CASE WHEN lane <> '' THEN lane ELSE 'fast' END AS lane, CASE WHEN n <> '' THEN least(1, greatest(0, CAST(n AS DOUBLE))) ELSE 0.5 END AS confidence, CASE WHEN reason <> '' THEN reason ELSE 'Unable to parse LLM response' END AS reasoning FROM y""",
     "t5_variants": f"SELECT * FROM {_values(VARIANTS, 'v', 'query, seq, text')} WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY query, lower(text) ORDER BY seq) = 1",
     "t6_chunks": f"SELECT * FROM {_values(CHUNKS, 'c', 'query, seq, child_id, parent_text, child_text')} QUALIFY row_number() OVER (PARTITION BY query, coalesce(child_id, md5(coalesce(parent_text, child_text, ''))) ORDER BY seq) = 1",
     "x6_expanded": f"SELECT query, 0 AS seq, question AS text FROM {QUESTIONS_SQL} UNION ALL SELECT query, 1, array_to_string(list_reverse(string_split(question, ' ')), ' ') FROM {QUESTIONS_SQL}",
@@ -153,7 +166,7 @@ ORACLES = {
         SELECT count(*) AS total_documents, round(avg(n), 6) AS avg_doc_length, (SELECT count(DISTINCT term) FROM t) AS total_terms FROM s""",
     "s13_elements": "SELECT source_file, count(*) FILTER (parent_type = 'table') AS tables, count(*) FILTER (parent_type IN ('text', 'heading', 'list')) AS texts FROM (SELECT DISTINCT ON (parent_id) * FROM parents) GROUP BY source_file",
     "pred7_lookup": "SELECT DISTINCT child_id, parent_id FROM children WHERE child_id IN (SELECT child_id FROM embedding_results)",
-    "t4_same_results": "SELECT * FROM (VALUES ('reordered', true, true), ('repeated', true, false), ('other', false, false)) AS t(pair, sets, bags)",
+    "t4_same_results": _same({"reordered": "SELECT * FROM a ORDER BY p", "repeated": "SELECT * FROM a UNION ALL SELECT * FROM a", "other": "SELECT * FROM a WHERE p > 100000"}),
     "f40_descriptions": "",
     "x1_all_columns": "",
 }
