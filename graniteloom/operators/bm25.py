@@ -65,8 +65,12 @@ def scores(tf: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) ->
     """
     asked = terms.select("term").distinct()
     # the corpus statistics are one row
-    n = tf.select("doc", "doc_length").distinct().agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl"))
-    hits = tf.join(asked, "term", "left_semi")
+    n = tf.groupBy("doc").agg(F.max("doc_length").alias("doc_length")).agg(F.count("*").alias("n"), F.avg("doc_length").alias("avgdl"))
+    return scored(tf.join(asked, "term", "left_semi"), terms, n, k1, b)
+
+
+def scored(hits: DataFrame, terms: DataFrame, n: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, doc, score) from all postings ``hits`` of the queries' terms and the one row ``n`` (n, avgdl)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     avgdl = F.when(F.coalesce("avgdl", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("avgdl"))
     w = terms.join(df, "term").join(F.broadcast(n)).select("query", "term", "times", idf(F.col("n"), F.col("df")).alias("idf"), avgdl.alias("avgdl"))
@@ -75,9 +79,13 @@ def scores(tf: DataFrame, terms: DataFrame, k1: float = 1.5, b: float = 0.75) ->
 
 
 def search(tf: DataFrame, terms: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank): the top k of each query, ties to the smaller document id."""
+    """(query, doc, score, rank): the top k of each query, ties to the smaller document id. ``sparse_index`` searches a stored index."""
+    return top(scores(tf, terms, k1, b), k)
+
+
+def top(scores: DataFrame, k: int) -> DataFrame:
     w = W.Window.partitionBy("query").orderBy(F.desc("score"), "doc")
-    return scores(tf, terms, k1, b).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def upsert(tf: DataFrame, new: DataFrame) -> DataFrame:

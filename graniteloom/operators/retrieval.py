@@ -66,10 +66,11 @@ def dense_search(vectors: DataFrame, key: str, vector: str, queries: DataFrame,
     kinds = f"query {queries.schema['query'].dataType.simpleString()}, doc {vectors.schema[key].dataType.simpleString()}, score double"
     use = queries.where(F.col("query").isNotNull() & (F.size("vector") == dim)).select("query", "vector")
     v = vectors.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{vector}`").alias("v")).where(F.col("doc").isNotNull())
-    scans = max(1, -(-use.count() // QUERIES_A_SCAN))
+    asked = use.limit(QUERIES_A_SCAN + 1).toArrow()
+    scans = 1 if asked.num_rows <= QUERIES_A_SCAN else -(-use.count() // QUERIES_A_SCAN)
     found = []
     for i in range(scans):
-        asked = use.where(F.pmod(F.xxhash64("query"), F.lit(scans)) == i).toArrow() if scans > 1 else use.toArrow()
+        asked = asked if scans == 1 else use.where(F.pmod(F.xxhash64("query"), F.lit(scans)) == i).toArrow()
         at, q = _rows_of(asked.column("vector").combine_chunks(), dim)
         sent = spark.sparkContext.broadcast((asked.column("query").combine_chunks().take(pa.array(at)), q))
         one = v.mapInArrow(partial(_dense, asked=sent, dim=dim, k=k), kinds)

@@ -31,9 +31,11 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "query int, question string")
 
 
-def children(spark: SparkSession, d: str) -> DataFrame:
-    """(doc, text) of the children, a child that stands twice once."""
-    return table(spark, d, "children").where("child_id is not null").select(F.col("child_id").alias("doc"), F.coalesce("child_text", F.lit("")).alias("text")).dropDuplicates(["doc"])
+def children(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """(doc, text) of the children, or of those in ``only`` (doc), a child that stands twice once."""
+    rows = table(spark, d, "children").where("child_id is not null")
+    rows = rows if only is None else rows.join(only.withColumnRenamed("doc", "child_id"), "child_id", "left_semi")
+    return rows.select(F.col("child_id").alias("doc"), F.coalesce("child_text", F.lit("")).alias("text")).dropDuplicates(["doc"])
 
 
 CHILDREN_SQL = "(SELECT child_id AS doc, any_value(coalesce(child_text, '')) AS text FROM children WHERE child_id IS NOT NULL GROUP BY child_id)"

@@ -51,17 +51,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder; what is written there is dropped when the driver ends."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(drop_written)
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, columns stay prunable.
 
     The files survive the loss of an executor and are dropped by ``freed`` or when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(drop_written)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

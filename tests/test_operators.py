@@ -4,7 +4,7 @@ import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
-from graniteloom.operators import agents, answers, bm25, chunking, linking, retrieval, routing, voting
+from graniteloom.operators import agents, answers, bm25, chunking, linking, retrieval, routing, sparse_index, voting
 from graniteloom.providers import HashedShingles, Scripted, WordOverlap, embed, safe_batches, valid_text
 
 
@@ -212,7 +212,7 @@ def test_refine(spark):
 
 def test_tools(spark):
     spark.range(4).createOrReplaceTempView("t4")
-    assert agents.sql_tool(spark, lambda q: ["```sql\nSELECT count(*) FROM t4\n```"])("q").answer == "4"
+    assert agents.sql_tool(spark, lambda q: ["```sql\nSELECT count(*) FROM t4\n```"])("q").answer == "Result: 4"
     d = agents.document_tool(lambda q: [{"child_text": "no"}, {"child_text": "alpha beta"}], lambda q, c: "answer from " + c[0]["child_text"], WordOverlap())
     assert d("alpha").answer == "answer from alpha beta" and agents.call(None, "q").success is False
     assert agents.expand("q", Scripted(["Q", "other"]), 3) == ["q", "other"] and agents.expand("q") == ["q"]
@@ -249,3 +249,48 @@ def test_parents_of_candidates(spark):
     p = frame(spark, [("p1", "old", "f", 1, 1), ("p1", "new", "f", 1, 2), ("p2", "x", "f", 1, 1)], "parent_id string, parent_text string, source_file string, page_number int, updated_at int")
     got = retrieval.with_parents(frame(spark, [(1, "c1"), (1, "c2"), (2, "c1"), (2, "c8")], "query int, doc string"), c, p).collect()
     assert sorted((r["query"], r["doc"], r["parent_id"] or "", r["parent_text"] or "") for r in got) == [(1, "c1", "p1", "new"), (1, "c2", "p9", ""), (2, "c1", "p1", "new"), (2, "c8", "", "")]
+
+
+def test_sparse_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = {1: "alpha beta", 2: "beta gamma gamma", 3: "alpha alpha delta", 4: ""}
+    tf = lambda d: bm25.term_frequencies(frame(spark, list(d.items()), "id int, t string"), "id", "t")
+    terms = bm25.query_terms(frame(spark, [(1, "alpha beta"), (2, "gamma nowhere")], "q int, t string"), "q", "t")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+
+    def same(now):
+        assert rows(sparse_index.search(spark, path, terms)) == rows(bm25.search(tf(now), terms))
+        assert rows(sparse_index.postings(spark, path)) == rows(tf(now).select("doc", "term", "tf", "doc_length"))
+
+    with pytest.raises(FileNotFoundError):
+        sparse_index.postings(spark, path)
+    assert sparse_index.add(spark, path, tf(docs)) == 1
+    same(docs)
+    sparse_index.add(spark, path, tf({2: "beta", 5: "alpha gamma"}), frame(spark, [(3,), (99,), (None,)], "doc int"))
+    now = {1: "alpha beta", 2: "beta", 5: "alpha gamma"}
+    same(now)
+    sparse_index.add(spark, path, None, frame(spark, [(1,)], "doc int"))
+    sparse_index.add(spark, path, tf({1: "gamma", 3: "delta"}))
+    now |= {1: "gamma", 3: "delta"}
+    same(now)
+    # an unfinished segment does not count
+    tf({7: "alpha"}).write.parquet(f"{path}/postings/v5")
+    same(now)
+    sparse_index.compact(spark, path)
+    assert len(sparse_index.segments(spark, path)) == 1 == len(list((tmp_path / "index" / "postings").glob("v*")))
+    same(now)
+    # a search names its folders to the scan
+    plan = sparse_index.postings(spark, path, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") and sparse_index.postings(spark, path, terms).count() < sparse_index.postings(spark, path).count()
+    sparse_index.add(spark, path, None, frame(spark, [(i,) for i in range(9)], "doc int"))
+    assert sparse_index.search(spark, path, terms).count() == 0
+
+
+def test_large_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sparse_index, "NAMED_TERMS", 1)
+    path = str(tmp_path / "index")
+    tf = bm25.term_frequencies(frame(spark, [(1, "alpha beta"), (2, "beta gamma")], "id int, t string"), "id", "t")
+    terms = bm25.query_terms(frame(spark, [(1, "alpha gamma")], "q int, t string"), "q", "t")
+    sparse_index.add(spark, path, tf)
+    assert sorted(map(tuple, sparse_index.search(spark, path, terms).collect())) == sorted(map(tuple, bm25.search(tf, terms).collect()))
