@@ -55,8 +55,9 @@ _NUMBER = re.compile(rf"(?:(?P<dash>[-–—])\s*(?P<a>{_NUM})\s*[-–—]|\[\s*
 _TRAIL = re.compile(rf"^(?:{_NUM}\s{{2,}})?(.*?)(?:\s{{2,}}{_NUM})?$", re.S)
 _TOKEN = re.compile(r"(?:[^\W_]|[|@\u00a8\u0300-\u036f])+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
-_DIVIDED = re.compile(rf"(?<=[^\W\d_])[{MARKS}][^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
+_HYPHENATED = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+# the mark comes first, so that the search jumps from mark to mark
+_DIVIDED = re.compile(rf"[{MARKS}](?<=[^\W\d_].)[^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
 _END = re.compile(rf"([^\W\d_]+)([{MARKS}])\s*$")
 _BEGIN = re.compile(r"\s*([^\W\d_|@¨](?:[^\W_]|[|@¨])*)")
 _JAMO = re.compile(r"[ㄱ-ㅣ]")
@@ -150,9 +151,11 @@ def _count_words(batches: Iterator[pa.RecordBatch], limit: int = 300_000) -> Ite
     for batch in batches:
         for t in batch.column(0).to_pylist():
             t = _DIVIDED.sub("", t).lower()
-            seen.update(_LETTERS.findall(t))
+            ws = _HYPHENATED.findall(t)
+            seen.update(ws)
             if "-" in t:
-                seen.update(_COMPOUND.findall(t))
+                # a compound's parts count as well
+                seen.update(p for w in ws if "-" in w for p in w.split("-"))
         if len(seen) > limit:
             yield flush()
             seen.clear()
