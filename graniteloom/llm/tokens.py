@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import partial
 
@@ -19,6 +20,8 @@ _loaded: dict = {}
 def tokenizer(path: str):
     """The tokenizer of a vocabulary file, loaded once in a worker. Texts that spell a special token stay ordinary text."""
     if path not in _loaded:
+        # tasks are spread over the cores already: no threads of the library's own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
