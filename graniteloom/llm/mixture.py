@@ -2,7 +2,7 @@
 
 Every record of a source should stand x = share * total / size of its source times in the mixture. The whole part is certain; the fraction is rounded so
 that the source's size stays put: two undecided records exchange probability, weighted by their sizes, until one of them is 0 or 1.
-Each task pairs its own records; the one undecided record it is left with for each source goes up a reduction tree of tasks. A source's
+Records meet in groups by a hash of their ids; the one undecided record that a group is left with goes up a reduction tree of groups. A source's
 size is off its target by less than one record, and each record's expected copies are exactly x.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from graniteloom.runtime import written
 
 _ROW = "id long, source string, n_tokens long, p double, final boolean"
-FAN_IN = 4096  # undecided records of a source that one task of the tree takes
+FAN_IN = 4096  # undecided records of a source that one group of the tree takes
 
 
 def pair(a: tuple, b: tuple, seed: int) -> tuple[tuple, tuple]:
@@ -38,32 +38,41 @@ def pair(a: tuple, b: tuple, seed: int) -> tuple[tuple, tuple]:
 def _round(batches: Iterator[pa.RecordBatch], seed: int, last: bool) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    open_: dict[str, tuple] = {}
+    key, open_ = None, None
 
     def rows(out: list) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["id", "source", "n_tokens", "p", "final"])
 
+    def end() -> list:
+        # at the root the last undecided record of a source is drawn by its probability
+        if open_ is None:
+            return []
+        i, w, p = open_
+        return [(i, key[0], w, float(xxhash.xxh3_64_intdigest(f"{seed} {i}") / 2**64 < p) if last else p, last)]
+
     for batch in batches:
         out = []
-        for i, s, w, p, _ in zip(*(c.to_pylist() for c in batch.columns)):
+        for i, s, bucket, w, p in zip(*(c.to_pylist() for c in batch.columns)):
+            if (s, bucket) != key:
+                out += end()
+                key, open_ = (s, bucket), None
             new = (i, w, p)
-            if 0 < p < 1 and s in open_:
-                old, new = pair(open_.pop(s), new, seed)
+            if 0 < p < 1 and open_ is not None:
+                old, new = pair(open_, new, seed)
+                open_ = None
                 if 0 < old[2] < 1:
-                    open_[s] = old
+                    open_ = old
                 else:
                     out.append((old[0], s, old[1], old[2], True))
             if 0 < new[2] < 1:
-                open_[s] = new
+                open_ = new
             else:
                 out.append((new[0], s, new[1], new[2], True))
         if out:
             yield rows(out)
-    # at the root the last undecided record of a source is drawn by its probability
-    end = [(i, s, w, float(xxhash.xxh3_64_intdigest(f"{seed} {i}") / 2**64 < p) if last else p, last) for s, (i, w, p) in open_.items()]
-    if end:
-        yield rows(end)
+    if out := end():
+        yield rows(out)
 
 
 def copies(sizes: DataFrame, key: str, source: str, size: str, weights: DataFrame, total: float | None = None, seed: int = 11) -> DataFrame:
@@ -79,29 +88,27 @@ def copies(sizes: DataFrame, key: str, source: str, size: str, weights: DataFram
     use = sizes.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{source}`").alias("source"), F.col(f"`{size}`").cast("long").alias("n_tokens"))
     use = use.where(F.col("id").isNotNull() & F.col("source").isin(list(want)) & (F.col("n_tokens") > 0))
     use = written(use.groupBy("id").agg(F.min(F.struct("source", "n_tokens")).alias("r")).select("id", "r.*"), "sizes")
-    have = {r["source"]: int(r["t"]) for r in use.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    have = {r["source"]: (int(r["t"]), r["n"]) for r in use.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}
     if not have:
         return spark.createDataFrame([], "id long, source string, n_tokens long, copies int")
     if total is None:
-        total = min(want[s][1] * t / want[s][0] for s, t in have.items())
-    x = {s: min(want[s][0] * total / t, float(want[s][1])) for s, t in have.items()}
+        total = min(want[s][1] * t / want[s][0] for s, (t, _) in have.items())
+    x = {s: min(want[s][0] * total / t, float(want[s][1])) for s, (t, _) in have.items()}
     # an x within rounding of a whole number is that number
     x = {s: float(round(v)) if abs(v - round(v)) < 1e-9 else v for s, v in x.items()}
     pick = lambda f: F.element_at(F.create_map(*[y for s, v in x.items() for y in (F.lit(s), F.lit(f(v)))]), F.col("source"))
-    rows = use.select("id", "source", "n_tokens", pick(lambda v: v - int(v)).cast("double").alias("p"), F.lit(False).alias("final"))
-    step = written(rows.mapInArrow(partial(_round, seed=seed, last=False), _ROW), "rounded")
-    done, left = step.where("final"), step.where("not final")
-    level = 0
+    left = use.select("id", "source", "n_tokens", pick(lambda v: v - int(v)).cast("double").alias("p"))
+    done, level, most = None, 0, max(n for _, n in have.values())
     while True:
-        most = left.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-        last = most <= FAN_IN
-        level += 1
-        spread = left.repartition("source") if last else left.repartition("source", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(-(-most // FAN_IN))))
-        step = written(spread.sortWithinPartitions("source", "id").mapInArrow(partial(_round, seed=seed + level, last=last), _ROW), "rounded")
-        done = done.unionByName(step.where("final"))
-        if last:
+        # groups go by a hash of the id, so that the outcome depends on the seed alone and not on how rows are spread over tasks
+        groups = -(-most // FAN_IN)
+        spread = left.select("id", "source", F.pmod(F.xxhash64("id", F.lit(seed + level)), F.lit(groups)).alias("bucket"), "n_tokens", "p")
+        spread = spread.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "id")
+        step = written(spread.mapInArrow(partial(_round, seed=seed + level, last=groups == 1), _ROW), "rounded")
+        done = step.where("final") if done is None else done.unionByName(step.where("final"))
+        if groups == 1:
             break
-        left = step.where("not final")
+        left, most, level = step.where("not final").select("id", "source", "n_tokens", "p"), groups, level + 1
     return done.select("id", "source", "n_tokens", (pick(int) + F.col("p").cast("int")).cast("int").alias("copies"))
 
 
