@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from graniteloom.llm import boilerplate, mixture, near_duplicates, neighbours, pieces, scans, spans, terms, tokens
 from graniteloom.llm.near_duplicates import Similarity
@@ -139,7 +140,24 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_sharers(spark: SparkSession, d: str) -> DataFrame:
+    """For each different set of records that share a passage, how many records it has and their smallest and greatest id: linear where pairs are a square."""
+    s = spans.sharers(table(spark, d, "documents"), "doc_id", "text")
+    sets = s.groupBy("h1", "h2").agg(F.count("*").alias("records"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.sum("doc").alias("sum_doc"))
+    return sets.drop("h1", "h2")
+
+
+def p9_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each source in the mixture: within a record (the largest of its source) of its share of the total, no record used too often."""
+    m = _mixed(spark, d)
+    big = m.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    s = mixture.shares(m, table(spark, d, "source_weights")).join(big, "source", "left")
+    off = F.abs(F.col("tokens") - F.col("target_share") * F.sum("tokens").over(W.Window.partitionBy()))
+    # the total itself is off by at most one record of each source
+    return s.select("source", (off <= F.sum(F.coalesce("largest", F.lit(0))).over(W.Window.partitionBy())).alias("at_target"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_children, p7_found, p7_pages, p8_ids, p8_decoded, p9_mixture, p9_shares, p10_found, p10_spans, p10_shares)
+    for f in (p1_found, p1_stripped, p1_blocks, p3_found, p3_groups, p4_found, p4_frequencies, p5_found, p5_neighbours, p6_found, p6_children, p7_found, p7_pages, p8_ids, p8_decoded, p9_mixture, p9_shares, p9_bounds, p10_found, p10_sharers, p10_spans, p10_shares)
 }

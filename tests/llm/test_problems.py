@@ -332,6 +332,10 @@ def test_mixture(spark):
     df = spark.createDataFrame(rows, "id long, source string, n long").withColumn("p", F.lit(1))
     m = mixture.copies(df.repartition(3), "id", "source", "n", w)
     got = m.collect()
+    # the seed decides, not how rows are spread
+    again = mixture.copies(df.repartition(7, "n"), "id", "source", "n", w)
+    assert {(x["id"], x["copies"]) for x in got} == {(x["id"], x["copies"]) for x in again.collect()}
+    assert {(x["id"], x["copies"]) for x in got} != {(x["id"], x["copies"]) for x in mixture.copies(df, "id", "source", "n", w, seed=12).collect()}
     assert len({x["id"] for x in got}) == len(got) == 3020 and all(0 <= x["copies"] <= {"a": 2, "b": 1, "c": 5}[x["source"]] for x in got)
     s = {x["source"]: x for x in mixture.shares(m, w).collect()}
     assert s["c"]["tokens"] == 5000 and s["c"]["most"] == 5
@@ -397,3 +401,45 @@ def test_long_texts_in_parts(spark, monkeypatch):
     rows = [(1, text(75) + s + text(300)), (2, text(333) + s), (3, text(400)), (4, s)]
     got = spans._anchor_rows, {tuple(x) for x in spans.shared_pairs(spark.createDataFrame(rows, "k long, body string"), "k", "body", 40).collect()}
     assert got[1] == {(1, 2), (1, 4), (2, 4)}
+
+
+# sieve
+
+
+def test_sieve(spark):
+    from graniteloom.llm.sieve import marked, sieve, sifted
+
+    rows = spark.createDataFrame([(i, f"k{i}") for i in range(500)] + [(None, None)], "i long, k string")
+    keys = rows.where("i % 7 = 0 or i is null").select("k")
+    for bits in (6, 8, 24):
+        by = sieve(keys, "k", bits)
+        got = {r["i"] for r in sifted(rows, "k", by, bits).collect()}
+        assert {i for i in range(500) if i % 7 == 0} <= got and None not in got
+        assert by.count() <= max(1, 2 ** (bits - 6)) and (bits < 24 or len(got) < 80)
+        assert marked(rows, "k", by, "hit", bits).where("hit").count() == len(got)
+    assert sifted(rows, "k", sieve(keys.limit(0), "k")).count() == 0
+
+
+def test_sharers(spark):
+    """A passage in n records gives n rows, whatever their pairs."""
+    shared = "".join(chr(97 + i * i % 23) for i in range(400))
+    docs = spark.createDataFrame([(i, f"{i}" * 40 + shared + chr(1000 + i) * 50) for i in range(60)] + [(99, "x" * 500), (None, shared), (100, None)], "id long, t string")
+    got = spans.sharers(docs, "id", "t").collect()
+    assert len(got) == 60 == len({r["doc"] for r in got}) and spans.shared_pairs(docs, "id", "t").count() == 60 * 59 // 2
+    assert spans.sharers(docs.limit(0), "id", "t").count() == 0
+
+
+def test_hub_candidates(spark, monkeypatch):
+    """Texts meet over a bounded number of centres: candidates stay in the order of a family's pairs."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(w if r.random() > 0.03 else f"e{r.random()}" for w in words)) for i in range(200)]
+    seen = []
+    over = near_duplicates._over_hubs
+    monkeypatch.setattr(near_duplicates, "_over_hubs", lambda e, s, h: seen.append((e.count(), over(e, s, h))) or seen[0][1])
+    freed = near_duplicates.freed
+    counts = []
+    monkeypatch.setattr(near_duplicates, "freed", lambda *t: counts.extend(x.count() for x in t if x is seen[0][1]) if len(t) == 3 else freed(*t))
+    how = Similarity(run=3, threshold=0.6, bands=48, rows=4)
+    near_duplicates.similar_classes(spark.createDataFrame(rows, "id int, t string"), "id", "t", how)
+    assert seen[0][0] <= 200 * 199 // 2 and counts[0] <= near_duplicates.HUBS * 200 * 199 // 2
