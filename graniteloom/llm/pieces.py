@@ -2,7 +2,8 @@
 
 A text is cut into ranges of fixed length with a halo of one character on either side. Workers detect words, line ends, and sentence ends in their ranges; the
 compact boundary tables of a text are stitched in order, a prefix sum over word counts places every boundary, and a plan of pieces is made on
-these counts alone. Pieces are then emitted by offset from the ranges they overlap. No worker needs a whole text in any step.
+these counts alone. Pieces are then emitted by offset from the ranges they overlap. Giant files are read range by range, and no worker loads one whole; a text that comes
+as one value of a table is held once, when it is cut into ranges.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteloom.runtime import latest, written
@@ -195,6 +196,63 @@ def _long(docs: DataFrame, key: str, text: str, table: str | None, newest: str |
     return use.mapInArrow(partial(_ranges, size=how.range_chars), f"id {kind}, tab boolean, no int, before string, body string, after string")
 
 
+def _read_ranges(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, tab, no, bytes) to (id, tab, no, before, body, after), read from the file ``id``: a character belongs to the range its first byte stands in."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, tab, no, total in zip(*(c.to_pylist() for c in batch.columns)):
+            where, name = fs.FileSystem.from_uri(path)
+            a, b = no * size, min((no + 1) * size, total)
+            with where.open_input_file(name) as f:
+                # a halo of two characters' bytes on either side holds one whole character
+                low, high = max(0, a - 8), min(total, b + 8)
+                raw = f.read_at(high - low, low)
+            start, stop = _boundary_at(raw, a - low), _boundary_at(raw, b - low)
+            before, body, after = raw[:start].decode("utf-8", "replace")[-1:], raw[start:stop].decode("utf-8", "replace"), raw[stop:].decode("utf-8", "replace")[:1]
+            kinds = (pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((path, tab, no, before, body, after), kinds)], ["id", "tab", "no", "before", "body", "after"])
+
+
+def _boundary_at(raw: bytes, at: int) -> int:
+    """The first place from ``at`` on where a UTF-8 character begins."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def file_ranges(spark: SparkSession, paths: list[str], tables: bool = False, how: Limits = Limits()) -> DataFrame:
+    """(id, tab, no, before, body, after): UTF-8 files in ranges of ``range_chars`` bytes, each read by itself; ``id`` is the file's full path.
+
+    The driver sees names and sizes only. Paths are such that pyarrow can open them on every executor (file:, hdfs:, s3:). Bytes that are no UTF-8 become
+    U+FFFD; an empty file gives no range; a missing one is an error.
+    """
+    rows = []
+    for p in paths:
+        hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        st = hp.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hp)
+        # file:/a is written file:///a where Python reads it
+        name = st.getPath().toString()
+        rows.append((name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file://") else name, tables, st.getLen()))
+    files = spark.createDataFrame(rows, "id string, tab boolean, bytes long").where("bytes > 0")
+    files = files.select("id", "tab", F.explode(F.sequence(F.lit(0), F.expr(f"int((bytes - 1) div {how.range_chars})"))).alias("no"), "bytes")
+    return files.repartition("id", "no").mapInArrow(partial(_read_ranges, size=how.range_chars), "id string, tab boolean, no int, before string, body string, after string")
+
+
+def split_files(spark: SparkSession, paths: list[str], tables: bool = False, how: Limits = Limits()) -> DataFrame:
+    """The pieces (as ``split`` gives them) of UTF-8 files of more than ``words`` words: ranges are read where they are needed, no file is loaded whole.
+
+    One task holds the boundary table of a file, some 8 bytes for each line or sentence.
+    """
+    return _pieces(file_ranges(spark, paths, tables, how), how)
+
+
+def oversized_files(spark: SparkSession, paths: list[str], tables: bool = False, how: Limits = Limits()) -> DataFrame:
+    """(id, boundary) of the files with more than ``words`` words, as ``oversized`` gives it."""
+    t = _boundary_tables(file_ranges(spark, paths, tables, how))
+    return t.mapInArrow(partial(_classify, limit=how.words), "id string, boundary string").where("boundary is not null")
+
+
 def _boundary_tables(ranges: DataFrame) -> DataFrame:
     kind = ranges.schema["id"].dataType.simpleString()
     t = ranges.mapInArrow(_detect, f"id {kind}, tab boolean, no int, words array<int>, kinds array<int>")
@@ -217,8 +275,11 @@ def split(docs: DataFrame, key: str, text: str, table: str | None = None, newest
 
     Every word stands in a piece, in order, and no piece has more than ``words`` words; white space within a piece is kept, around it dropped.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    ranges = written(_long(docs, key, text, table, newest, how), "ranges")
+    return _pieces(written(_long(docs, key, text, table, newest, how), "ranges"), how)
+
+
+def _pieces(ranges: DataFrame, how: Limits) -> DataFrame:
+    kind = ranges.schema["id"].dataType.simpleString()
     p = _boundary_tables(ranges).mapInArrow(partial(_plan, how=how), f"id {kind}, no int, lead long, piece int, first long, last long, cut string")
     j = p.join(ranges.select("id", "no", "before", "body"), ["id", "no"])
     e = j.mapInArrow(_emit, f"id {kind}, piece int, no int, first long, last long, cut string, part string")

@@ -259,6 +259,22 @@ def test_pieces(spark, size):
     assert pieces.split(df.limit(0), "id", "body").count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 64, 4096])
+def test_giant_files(spark, tmp_path, size):
+    """Files read by byte ranges give the pieces of their texts, wherever a range cuts a character."""
+    texts = {k: t for k, (t, tab) in texts_to_split().items() if not tab}
+    texts |= {"wide": "가나 다라。 😀😀 é" * 40 + "\n\n" + "ß. Ä b\n" * 30, "few": "one two", "empty": ""}
+    how = pieces.Limits(12, 3, size)
+    paths = []
+    for n, t in texts.items():
+        (tmp_path / n).write_bytes(t.encode("utf-8"))
+        paths.append(str(tmp_path / n))
+    docs = spark.createDataFrame(list(texts.items()), "id string, t string")
+    plain = lambda df: sorted((r["id"].rsplit("/", 1)[-1], r["piece"], r["cut"], r["token_count"], r["piece_text"]) for r in df.collect())
+    assert plain(pieces.split_files(spark, paths, how=how)) == plain(pieces.split(docs, "id", "t", how=how))
+    assert {r["id"].rsplit("/", 1)[-1]: r["boundary"] for r in pieces.oversized_files(spark, paths, how=how).collect()} == {r["id"]: r["boundary"] for r in pieces.oversized(docs, "id", "t", how=how).collect()}
+
+
 # 7 scans
 
 PAGE = "Setup Card for the Old Lathe{n}\n{w} the night crew starts the low-\nspeed lathe of {w} and the mainte-\nnance team waits{e}. The equipment is old.\n\n{x}\nForm 12-X\n- {p} -"
@@ -423,7 +439,7 @@ def test_sieve(spark):
 def test_sharers(spark):
     """A passage in n records gives n rows, whatever their pairs."""
     shared = "".join(chr(97 + i * i % 23) for i in range(400))
-    docs = spark.createDataFrame([(i, f"{i}" * 40 + shared + chr(1000 + i) * 50) for i in range(60)] + [(99, "x" * 500), (None, shared), (100, None)], "id long, t string")
+    docs = spark.createDataFrame([(i, chr(2000 + i) * 40 + shared + chr(1000 + i) * 50) for i in range(60)] + [(99, "x" * 500), (None, shared), (100, None)], "id long, t string")
     got = spans.sharers(docs, "id", "t").collect()
     assert len(got) == 60 == len({r["doc"] for r in got}) and spans.shared_pairs(docs, "id", "t").count() == 60 * 59 // 2
     assert spans.sharers(docs.limit(0), "id", "t").count() == 0
