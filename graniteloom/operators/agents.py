@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -73,6 +74,28 @@ def document_tool(retrieve: Callable[[str], list[dict]], generate: Callable[[str
     return run
 
 
+def candidates(fields: set[tuple[str, str]], prompt: Callable[[list[tuple[str, str]]], str], generate: Callable[[str, int], str], n: int = 3, seed: int = 42) -> list[str]:
+    """Up to ``n`` statements for one question, each asked for with the fields in another order and with another seed.
+
+    Orders and seeds follow from ``seed`` and the sorted fields alone. An empty answer or a failing call is tried once more with the next seed; a candidate
+    that then is still empty is left out.
+    """
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        order = sorted(fields)
+        rng.shuffle(order)
+        asked, first = prompt(order), rng.randint(0, 10_000)
+        for s in (first, first + 1):
+            try:
+                sql = sqltools.clean_sql(generate(asked, s))
+            except Exception:  # as an empty answer
+                sql = ""
+            if sql:
+                out.append(sql)
+                break
+    return out
+
+
 def expand(query: str, model=None, n: int = 3) -> list[str]:
     """The question and up to ``n`` rewritings, without case-insensitive repeats; without a model, or if it fails, the question alone."""
     out = [query]

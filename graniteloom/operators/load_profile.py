@@ -73,7 +73,8 @@ def profile(df: DataFrame, load: str, columns: list[str] | None = None, top_k: i
     ``pattern_share`` its share; ``rare_masks`` and ``rare_mask_rows`` count masks below ``rare_share``. A column whose values are all missing has null
     range, pattern and an empty top list. An empty table gives no rows. Columns of any type are compared as strings.
     """
-    v = value_counts(df, load, columns).withColumn("mask", mask(F.col("value")))
+    # one scan: the counts by value serve every part of the profile
+    v = written(value_counts(df, load, columns).withColumn("mask", mask(F.col("value"))), "values")
     by = ["load", "column_name"]
     sums = v.groupBy(*by).agg(
         F.sum("n").alias("total_records"),
@@ -153,7 +154,7 @@ def mask_divergence(df: DataFrame, load: str, columns: list[str] | None = None)
 
     Loads are compared in string order; the first load and loads in which a column has no values give no row for it.
     """
-    m = mask_counts(df, load, columns).where(F.col("load").isNotNull())
+    m = written(mask_counts(df, load, columns).where(F.col("load").isNotNull()), "masks")
     loads = df.select(F.col(f"`{load}`").cast("string").alias("load")).where(F.col("load").isNotNull()).groupBy("load").count()
     # one row per load: loads are batches, far fewer than rows
     order = loads.select("load", F.lag("load").over(W.Window.orderBy("load")).alias("prev")).where(F.col("prev").isNotNull())

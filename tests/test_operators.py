@@ -294,3 +294,43 @@ def test_large_search(spark, tmp_path, monkeypatch):
     terms = bm25.query_terms(frame(spark, [(1, "alpha gamma")], "q int, t string"), "q", "t")
     sparse_index.add(spark, path, tf)
     assert sorted(map(tuple, sparse_index.search(spark, path, terms).collect())) == sorted(map(tuple, bm25.search(tf, terms).collect()))
+
+
+def test_candidates():
+    calls = []
+
+    def generate(prompt, seed):
+        calls.append((prompt, seed))
+        if len(calls) == 1:
+            raise RuntimeError
+        return "" if len(calls) in (3, 4) else "```sql\nSELECT 1;\n```"
+
+    fields = {("t", c) for c in "abcdef"}
+    got = agents.candidates(fields, lambda o: " ".join(c for _, c in o), generate, 3, 7)
+    assert got == ["SELECT 1", "SELECT 1"] and [b - a for (_, a), (_, b) in ((calls[0], calls[1]), (calls[2], calls[3]))] == [1, 1]
+    assert len({p for p, _ in calls}) == 3 and all(sorted(p.split()) == list("abcdef") for p, _ in calls)
+    first = calls[:]
+    calls.clear()
+    assert agents.candidates(fields, lambda o: " ".join(c for _, c in o), generate, 3, 7) == got and calls == first
+
+
+def test_ingestion(spark, tmp_path):
+    from graniteloom.operators import ingestion
+    from graniteloom.sources import stores
+
+    root = str(tmp_path / "rag")
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| alpha{i} | beta |" for i in range(9))
+    rows = [("in/one.pdf", 1, "text", "First words. More of them.\n\nSecond paragraph"), ("in/one.pdf", 1, "text", "First words. More of them.\n\nSecond paragraph"), ("in/one.pdf", 2, "table", table), ("in/two.pdf", 1, "text", "  "), ("in/two.pdf", 2, "text", None), ("in/three.docx", 5, "table", "no table"), (None, 1, "text", "lost"), ("in/one.pdf", None, "text", "lost")]
+    e = frame(spark, rows, "source_file string, element_id int, type string, text string")
+    got = {r["source_file"]: (r["parents"], r["children"], r["status"]) for r in ingestion.ingest(spark, e, root, "j1", HashedShingles(16)).collect()}
+    assert got == {"in/one.pdf": (2, 3, "completed"), "in/two.pdf": (0, 0, "failed"), "in/three.docx": (1, 1, "completed")}
+    kids = stores.read_store(spark, f"{root}/children")
+    assert kids.count() == 4 and stores.read_store(spark, f"{root}/vectors").count() == 4 and {r["parent_id"] for r in stores.read_store(spark, f"{root}/parents").collect()} == {r["parent_id"] for r in kids.collect()} == {"one_elem_1_text", "one_elem_2_table", "three_elem_5_corrupted_part0"}
+    terms = bm25.query_terms(frame(spark, [(1, "alpha paragraph")], "q int, t string"), "q", "t")
+    find = lambda: {r["doc"] for r in sparse_index.search(spark, f"{root}/index", terms).collect()}
+    assert "one_elem_1_text_child_0" in find()
+    jobs = stores.latest_jobs(spark.read.parquet(f"{root}/jobs").where("source_file = 'in/two.pdf'")).first()
+    assert jobs["status"] == "failed" and jobs["error_message"]
+    # the file comes again with other words
+    ingestion.ingest(spark, frame(spark, [("in/one.pdf", 1, "text", "changed")], e.schema), root, "j2", HashedShingles(16))
+    assert "one_elem_1_text_child_0" not in find() and stores.read_store(spark, f"{root}/children").count() == 4
